@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import url_filter
 from tidemark.llm.sentencepiece_codec import op1_sentencepiece
+from tidemark.llm.simhash import op8_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op7_url_filter": url_filter.op7_url_filter,
+    "op8_simhash": op8_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_url_filter": url_filter.ORACLE,
+}
