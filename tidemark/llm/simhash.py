@@ -7,9 +7,9 @@ The 64 bits are grouped into parts, correlated bits together. If thresholds t_i
 two linked fingerprints differ in at most t_i bits in some part i. A dynamic program allots the thresholds, unequally, such
 that the estimated number of probes and candidates is least; the estimate comes from all fingerprints' bit statistics.
 Each fingerprint is stored under its own value of every part and probes all values within t_i bits; candidates are
-verified over all 64 bits. A stored value that many distinct fingerprints share is divided further: the other bits are cut
-into radius + 1 runs, one of which must agree in full, so that such a bucket is probed by these runs; this repeats while
-buckets stay large. No bucket is paired with itself whole and no candidate is left out.
+verified over all 64 bits. A stored value that many distinct fingerprints share is divided further: the bits are cut into
+radius + 1 runs, one of which must agree in full, so that such a bucket is probed by these runs; this repeats while buckets
+stay large. Buckets link through a pivot first, and what a pivot has joined isn't paired again; no component is lost.
 
 Nulls count as empty texts; texts without words have fingerprint zero, which links like any other. Repeated rows get equal
 results. A null doc_id belongs to the component of its fingerprint, whose name is the smallest doc_id that isn't null.
@@ -156,69 +156,82 @@ def _long(x: int) -> Column:
     return F.lit(_signed(x)).cast("long")
 
 
-def _match(stored: DataFrame, probes: DataFrame, radius: int, keys: list[str]) -> DataFrame:
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius
-    return probes.join(stored, keys).filter((F.col("fp") < F.col("other")) & near).select("fp", "other")
+def _near(radius: int) -> Column:
+    return F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius
 
 
-def _divide(rows: DataFrame, column: str, runs: list[int]) -> DataFrame:
-    return rows.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("run"), F.col(column).bitwiseAND(_long(m)).alias("rest")) for i, m in enumerate(runs)])).alias("r")).select(*rows.columns, "r.run", "r.rest")
+def _stored(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
+    """Each fingerprint under its own value of each part; extra columns stay."""
+    places = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(_long(_mask(bits)))) for i, (bits, _) in enumerate(parts)]
+    return fps.select(F.explode(F.array(*places)).alias("key"), F.col("fp").alias("other"), *[F.col(c).alias(f"other_{c}") for c in fps.columns if c != "fp"])
 
 
-def links(fps: DataFrame, radius: int) -> DataFrame:
-    """fp, other: all pairs of distinct fingerprints, fp < other, with at most radius differing bits. fps: distinct `fp`s."""
+def _probes(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
+    """Each fingerprint under all values of each part within its threshold."""
+    out = None
+    for i, (bits, t) in enumerate(parts):
+        own = F.col("fp").bitwiseAND(_long(_mask(bits)))
+        flips = F.array(*[_long(f) for f in _flips(bits, t)])
+        rows = fps.select(F.explode(F.transform(flips, lambda f: F.xxhash64(F.lit(i), own.bitwiseXOR(f)))).alias("key"), *fps.columns)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _runs(level: int, radius: int) -> list[int]:
+    """The 64 bits cut into radius + 1 runs, another way at each level: two linked fingerprints agree in one at least."""
+    order = sorted(range(BITS), key=lambda b: (b * (1, 5, 11, 19)[level % 4] + level) % BITS)
+    return [_mask(list(r)) for r in np.array_split(order, radius + 1)]
+
+
+def _divide(rows: DataFrame, column: str, level: int, radius: int) -> DataFrame:
+    keys = [F.xxhash64(F.col("key"), F.lit(i), F.col(column).bitwiseAND(_long(m))) for i, m in enumerate(_runs(level, radius))]
+    return rows.select(F.explode(F.array(*keys)).alias("key"), *[c for c in rows.columns if c != "key"])
+
+
+def _links_between(labelled: DataFrame, parts: list[tuple[list[int], int]], radius: int, levels: int = 3) -> list[DataFrame]:
+    """Links of fingerprints whose labels differ. labelled: `fp` and `label`."""
+    stored, probes, found = _stored(labelled, parts), _probes(labelled, parts), []
+    for level in range(levels + 1):
+        spread = cut(stored.groupBy("key").agg(F.min("other_label").alias("lo"), F.max("other_label").alias("hi"), F.count("*").alias("n")), "spread")
+        # a bucket of one label has nothing for a probe of the same label
+        probes = probes.join(spread.select("key", "lo", "hi"), "key").filter((F.col("lo") < F.col("hi")) | (F.col("lo") != F.col("label"))).drop("lo", "hi")
+        hot = spread.filter(F.col("n") > HOT_BUCKET).select("key")
+        last = level == levels or not hot.take(1)
+        cool = stored if last else stored.join(hot, "key", "left_anti")
+        pairs = probes.join(cool, (probes["key"] == cool["key"]) & (F.col("label") != F.col("other_label")) & _near(radius)).select("fp", "other")
+        found.append(cut(pairs.distinct(), "links"))
+        if last:
+            break
+        stored = _divide(stored.join(hot, "key", "left_semi"), "other", level, radius)
+        probes = _divide(probes.join(hot, "key", "left_semi"), "fp", level, radius)
+    return found
+
+
+def link_components(fps: DataFrame, radius: int) -> DataFrame:
+    """node, root of the graph of distinct fingerprints `fp` linked at `radius` or fewer bits; lone ones aren't listed.
+
+    Each bucket's smallest fingerprint is its pivot. Links to pivots come first, and with them most components; then only
+    pairs of different components are looked for, so that a bucket of thousands of near copies isn't paired with itself."""
     n, both = bit_statistics(fps)
-    if n < 2:
-        return fps.select("fp", F.col("fp").alias("other")).limit(0)
-    found = []
-    for bits, t in plan_parts(n, both, radius):
-        mask = _mask(bits)
-        value = F.col("fp").bitwiseAND(_long(mask))
-        stored = fps.select(value.alias("value"), F.col("fp").alias("other"))
-        flips = _flips(bits, t)
-        probes = fps.select(F.explode(F.array(*[value.bitwiseXOR(_long(f)) for f in flips])).alias("value"), "fp")
-        hot = cut(stored.groupBy("value").count().filter(F.col("count") > HOT_BUCKET).select("value"), "hot")
-        hot_count = hot.count()
-        if not hot_count:
-            found.append(_match(stored, probes, radius, ["value"]))
-            drop(hot)
-            continue
-        cool = stored.join(hot, "value", "left_anti")
-        found.append(_match(cool, probes, radius, ["value"]))
-        rest = [b for b in range(BITS) if b not in bits]
-        runs = [_mask(list(r)) for r in np.array_split(rest, radius + 1)]
-        some = _divide(stored.join(hot, "value", "left_semi"), "other", runs)
-        ask = _divide(probes.join(hot, "value", "left_semi"), "fp", runs)
-        # runs of one hot value that are hot again: pair them by the remaining bits' second division
-        again = cut(some.groupBy("value", "run", "rest").count().filter(F.col("count") > HOT_BUCKET).select("value", "run", "rest"), "hot")
-        if not again.count():
-            found.append(_match(some, ask, radius, ["value", "run", "rest"]).distinct())
-            drop(again)
-            continue
-        keys = ["value", "run", "rest"]
-        found.append(_match(some.join(again, keys, "left_anti"), ask, radius, keys).distinct())
-        for r in range(radius + 1):
-            left = [b for i, part in enumerate(np.array_split(rest, radius + 1)) if i != r for b in part]
-            deep = [_mask(list(x)) for x in np.array_split(left, radius + 1)]
-            mine = again.filter(F.col("run") == r)
-            s2 = _divide(some.join(mine, keys, "left_semi").select("value", F.col("rest").alias("first"), "other"), "other", deep)
-            a2 = _divide(ask.join(mine, keys, "left_semi").select("value", F.col("rest").alias("first"), "fp"), "fp", deep)
-            found.append(_match(s2, a2, radius, ["value", "first", "run", "rest"]).distinct())
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
+    parts = plan_parts(max(n, 2), both, radius)
+    pivots = _stored(fps, parts).groupBy("key").agg(F.min("other").alias("other"))
+    probes = _probes(fps, parts)
+    to_pivots = cut(probes.join(pivots, (probes["key"] == pivots["key"]) & (F.col("fp") != F.col("other")) & _near(radius)).select("fp", "other").distinct(), "links")
+    first = connected_components(to_pivots.select(F.col("fp").alias("u"), F.col("other").alias("v")))
+    labelled = cut(fps.join(first, fps["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("label")), "labels")
+    edges = to_pivots
+    for found in _links_between(labelled, parts, radius):
+        edges = edges.unionByName(found)
+    return connected_components(edges.select(F.col("fp").alias("u"), F.col("other").alias("v")))
 
 
 def near_duplicate_components(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over links, itself included) of each row."""
     own = cut(fingerprints(docs, shingle), "fingerprints")
     classes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    edges = links(classes.select("fp"), radius).select(F.col("fp").alias("u"), F.col("other").alias("v"))
-    roots = cut(connected_components(edges), "components")
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    joined = named.filter("root = fp").select("root", "first").unionByName(named.filter("root <> fp").select("root", "first"))
-    names = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    roots = link_components(classes.select("fp"), radius)
+    named = cut(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return own.join(named.select("fp", "root").join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
