@@ -7,15 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import url_filter
+from tidemark.llm.language_model import op5_language_model
+from tidemark.llm.quality_rules import op10_quality
 from tidemark.llm.sentencepiece_codec import op1_sentencepiece
 from tidemark.llm.simhash import op8_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op5_language_model": op5_language_model,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_simhash": op8_simhash,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_language_model": op5_language_model,
     "op7_url_filter": url_filter.ORACLE,
 }
