@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.runtime import read_table as table  # noqa: F401
+from tidemark.runtime import ship  # noqa: F401
 
 #: A-Z alone change case: no locale, no other letters.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, texts
+from tidemark.llm.common import ship, table, texts
 
 ERROR_RATE, MIN_CHARS, BLOCK_CHARS = 0.05, 40, 4_000_000
 
@@ -128,6 +128,7 @@ def item_blocks(items: DataFrame, min_chars: int, block_chars: int) -> list[list
 
 def find_leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, distance, budget, ends_at: the pairs of a text and an item that it holds within the item's budget."""
+    ship(docs.sparkSession)
     schema = "doc_id long, item_id long, distance int, budget int, ends_at long"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = []
@@ -148,6 +149,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE
 
 def without_leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows whose text holds no item, all columns kept; decided in place, without a join."""
+    ship(docs.sparkSession)
     out = docs
     for block in item_blocks(items, min_chars, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(block)

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, drop, mix, raw_texts, table
+from tidemark.llm.common import cut, drop, mix, raw_texts, ship, table
 
 CONTEXTS, DISCOUNT = 4096, 0.5
 FILTER_BITS, BITS_PER_ENTRY, PROBES, BLOCKS = 1 << 27, 10, 4, 1024
@@ -286,6 +286,7 @@ SCORED = "row long, doc_id long, held_out boolean, n_tokens long, head_known lon
 def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, head_size: int = 1 << 18) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; learnt from rows not held out."""
     spark = docs.sparkSession
+    ship(spark)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", modulus, remainder).alias("held_out"), F.col("text").cast("string").alias("text"))
     counts, model, least = train(marked.filter(~F.col("held_out")), head_size)
     shared = spark.sparkContext.broadcast(model)

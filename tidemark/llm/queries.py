@@ -10,6 +10,7 @@ from tidemark.llm import url_filter
 from tidemark.llm.decontamination import op6_decontamination
 from tidemark.llm.language_model import op5_language_model
 from tidemark.llm.license_scan import op2_licenses
+from tidemark.llm.line_dedup import op9_line_dedup
 from tidemark.llm.quality_rules import op10_quality
 from tidemark.llm.sentencepiece_codec import op1_sentencepiece
 from tidemark.llm.simhash import op8_simhash
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_simhash": op8_simhash,
+    "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
 }
 

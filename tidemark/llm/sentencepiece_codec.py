@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import table, texts
+from tidemark.llm.common import ship, table, texts
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -378,6 +378,7 @@ def default_model_path() -> str:
 
 def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; the model file (a few hundred kB) is read on the driver."""
+    ship(docs.sparkSession)
     blob = docs.sparkSession.sparkContext.broadcast(model_bytes(model_path))
 
     def run(batches):
@@ -393,6 +394,7 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
 
 def encode_with_spans(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids, pieces and the byte span of each piece in the original text."""
+    ship(docs.sparkSession)
     blob = docs.sparkSession.sparkContext.broadcast(model_bytes(model_path))
 
     def run(batches):

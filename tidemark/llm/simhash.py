@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, drop, raw_texts, table
+from tidemark.llm.common import cut, drop, raw_texts, ship, table
 from tidemark.llm.components import connected_components
 
 BITS = 64
@@ -227,6 +227,7 @@ def link_components(fps: DataFrame, radius: int) -> DataFrame:
 
 def near_duplicate_components(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over links, itself included) of each row."""
+    ship(docs.sparkSession)
     own = cut(fingerprints(docs, shingle), "fingerprints")
     classes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     roots = link_components(classes.select("fp"), radius)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, texts
+from tidemark.llm.common import ship, table, texts
 
 INSULT, THREAT, MODAL, TARGET, NEGATION, REPORT, OTHER = range(7)
 #: Insults that are known without learning, and the closed classes of the grammar.
@@ -204,6 +204,7 @@ def learn_lexicon(rows: DataFrame, toxic: int, clean: int) -> dict[str, float]:
 
 def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, sample: int = 20_000) -> tuple[dict[str, float], list[float]]:
     """Lexicon and coefficients, from rows whose crc32(doc_id as text) mod modulus isn't remainder."""
+    ship(docs.sparkSession)
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").filter(F.crc32(F.col("doc_id").cast("string")) % modulus != remainder).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = marked.count()
     if known > sample:
@@ -251,6 +252,7 @@ def score_texts(docs: DataFrame, columns: list[str], lexicon: dict[str, float],
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     spark = docs.sparkSession
+    ship(spark)
     shared = spark.sparkContext.broadcast((lexicon, np.array(coefficients)))
     picked = docs.select(*columns, F.col("text").cast("string").alias("__text"))
     schema = StructType([*picked.schema.fields[:-1], *[StructField(f"toxicity_{c}", DoubleType()) for c in ("sum", "largest", "score")]])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, drop, lowered, mix, table
+from tidemark.llm.common import cut, drop, lowered, mix, ship, table
 
 #: (host, path, verdict): fixed values of the contract.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -143,6 +143,7 @@ def build_cascade(universe: DataFrame, max_keys: int = 4_000_000) -> Cascade | N
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, listed: DataFrame | None = None, max_keys: int = 4_000_000) -> DataFrame:
     """page_id, host, path, rule, verdict, listed_host of each row. listed: a column `key` of host names; else LISTED_WORDS decide."""
+    ship(pages.sparkSession)
     host, path = host_and_path(F.col("url"))
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     hosts = parsed.select("host").distinct()
