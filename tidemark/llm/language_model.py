@@ -225,29 +225,47 @@ class Model:
         self.pairs, self.pair_least, self.pair_mean = pairs, pair_least, pair_mean
         self.scale, self.rest = scale, rest
         self.end = head.ids.get(END, -1)
-
-    def score(self, words: list[bytes]) -> tuple[int, float, float, Counter]:
-        """Known head tokens, their part of the base score, log10 probability, and the other tokens."""
+        self.probed = None
+
+    def pair_quanta(self, keys: np.ndarray) -> np.ndarray:
+        """Quantised counts of bigrams. What was probed once is kept: one byte for each of the CONTEXTS squared bigrams."""
+        if self.probed is None:
+            self.probed = np.full(CONTEXTS * CONTEXTS, 255, np.uint8)
+        q = self.probed[keys]
+        new = np.unique(keys[q == 255])
+        if len(new):
+            self.probed[new] = np.minimum(self.pairs.quanta(new.astype(np.uint64), self.pair_least), 71)
+            q = self.probed[keys]
+        return q
+
+    def score(self, texts: list[list[bytes]]) -> list[tuple[int, int, float, float, Counter]]:
+        """For each text's tokens (one at least): their number, known head tokens, these ones' part of the base score,
+        log10 probability, and the other tokens."""
+        words = [w for t in texts for w in t]
+        starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         ids = self.head.of(words)
         inside = ids >= 0
         c = np.zeros(len(words))
         c[inside] = self.head.counts[ids[inside]]
-        base = float(np.log10(c[inside] + 1).sum())
-        others = Counter([words[i] for i in np.flatnonzero(~inside)])
+        base = np.where(inside, np.log10(c + 1), 0.0)
+        outside = np.flatnonzero(~inside)
+        others = [words[i] for i in outside]
         if others:
-            h = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in others), np.uint64, len(others))
-            mean = dict(zip(others, self.tail_mean[np.minimum(self.tail.quanta(h, self.tail_least), 71)].tolist()))
-            c[~inside] = [mean[words[i]] for i in np.flatnonzero(~inside)]
+            distinct = list(dict.fromkeys(others))
+            h = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in distinct), np.uint64, len(distinct))
+            mean = dict(zip(distinct, self.tail_mean[np.minimum(self.tail.quanta(h, self.tail_least), 71)].tolist()))
+            c[outside] = [mean[w] for w in others]
         p = (c + 1) / (self.n + self.v + 1)
         before = np.concatenate([[self.end], ids[:-1]])
+        before[starts[:-1]] = self.end
         known = (before >= 0) & (before < CONTEXTS)
-        b = before[known]
-        p[known] *= self.rest[b]
+        p[known] *= self.rest[before[known]]
         both = known & (ids >= 0) & (ids < CONTEXTS)
         b = before[both]
-        q = self.pairs.quanta((b * CONTEXTS + ids[both]).astype(np.uint64), self.pair_least)
-        p[both] += self.scale[b] * np.maximum(self.pair_mean[np.minimum(q, 71)] - DISCOUNT, 0) / self.head.counts[b]
-        return int(inside.sum()), base, float(np.log10(p).sum()), others
+        p[both] += self.scale[b] * np.maximum(self.pair_mean[self.pair_quanta(b * CONTEXTS + ids[both])] - DISCOUNT, 0) / self.head.counts[b]
+        at = starts[:-1]
+        cuts = np.searchsorted(outside, starts)
+        return list(zip(np.diff(starts).tolist(), np.add.reduceat(inside.astype(np.int64), at).tolist(), np.add.reduceat(base, at).tolist(), np.add.reduceat(np.log10(p), at).tolist(), (Counter(others[i:j]) for i, j in zip(cuts, cuts[1:]))))
 
 
 def train(docs: DataFrame, head_size: int) -> tuple[DataFrame, Model, int]:
@@ -295,12 +313,17 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, head_
         m: Model = shared.value
         row = TaskContext.get().partitionId() << 33
         for b in batches:
-            out = []
-            for key, held, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw_texts(b)):
-                words = tokens(t)
-                known, base, score, others = m.score(words)
-                out.append((row, key, held, len(words), known, base, score, [w.decode() for w in others], list(others.values())))
-                row += 1
+            out, keys, held, texts_ = [], b.column(0).to_pylist(), b.column(1).to_pylist(), [tokens(t) for t in raw_texts(b)]
+            i = 0
+            while i < len(texts_):  # texts of about 100,000 tokens at a time
+                j, size = i, 0
+                while j < len(texts_) and (j == i or size + len(texts_[j]) < 100_000):
+                    size += len(texts_[j])
+                    j += 1
+                for k, (n, known, base, score, others) in zip(range(i, j), m.score(texts_[i:j])):
+                    out.append((row, keys[k], held[k], n, known, base, score, [w.decode() for w in others], list(others.values())))
+                    row += 1
+                i = j
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "score", "token", "tf"])
