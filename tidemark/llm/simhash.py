@@ -17,50 +17,68 @@ results. A null doc_id belongs to the component of its fingerprint, whose name i
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, drop, raw_texts, ship, table
+from tidemark.llm.common import cut, mix, raw_texts, ship, table
 from tidemark.llm.components import connected_components
 
 BITS = 64
 #: Relative costs of making one probe and of checking one candidate.
 PROBE, CANDIDATE = 1.0, 0.5
 #: A stored value of a part with more distinct fingerprints than this is divided further.
-HOT_BUCKET = 64
+HOT_BUCKET = 256
+#: Parts are planned for this many fingerprints at least: below it any plan is cheap.
+LEAST_PLANNED = 1 << 18
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
+def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of a text's word shingles, repeats included, in arrays of bounded length."""
     words = text.lower().split()  # of bytes: A-Z and ASCII white space only
     n = len(words)
     if not n:
-        return 0
+        return
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if n <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
-    joined = b" ".join(words)
+        yield np.array([digest(joined, 42)], np.uint64)
+        return
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n)) + np.arange(n)
     starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_intdigest
     a, b = starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
-    count, m = np.zeros(BITS, np.int64), len(a)
-    for at in range(0, m, 65536):
-        h = np.array([digest(joined[i:j], 42) for i, j in zip(a[at : at + 65536], b[at : at + 65536])], dtype=">u8")
-        count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(count * 2 > m).tobytes(), "big")
+    for at in range(0, len(a), 65536):
+        yield np.array([digest(joined[i:j], 42) for i, j in zip(a[at : at + 65536], b[at : at + 65536])], np.uint64)
+
 
+def fingerprint(text: bytes, shingle: int, sketch: int = 0) -> tuple[int, np.ndarray]:
+    """The fingerprint, and the `sketch` smallest distinct shingle hashes, mixed anew."""
+    count, m, least = np.zeros(BITS, np.int64), 0, np.zeros(0, np.uint64)
+    for h in shingle_hashes(text, shingle):
+        count += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        m += len(h)
+        if sketch:
+            least = np.unique(np.concatenate([least, mix(h)]))[:sketch]
+    return int.from_bytes(np.packbits(count * 2 > m).tobytes(), "big"), least
 
-def fingerprints(docs: DataFrame, shingle: int = 4, key: str = "doc_id") -> DataFrame:
-    """key and fp (the fingerprint's bits as a signed long) of each row."""
+
+def fingerprints(docs: DataFrame, shingle: int = 4, keys: Sequence[str] = ("doc_id",), sketch: int = 0) -> DataFrame:
+    """The key columns (longs), fp (the fingerprint's bits as a signed long) and, if asked for, sketch of each row."""
+    names = [*keys, "fp", *["sketch"] * bool(sketch)]
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in raw_texts(b)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], [key, "fp"])
+            both = [fingerprint(t, shingle, sketch) for t in raw_texts(b)]
+            columns = [*b.columns[:-1], pa.array(np.array([f for f, _ in both], dtype=np.uint64).view(np.int64))]
+            if sketch:
+                columns.append(pa.array([k.view(np.int64) for _, k in both], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")).mapInArrow(run, f"{key} long, fp long")
+    schema = ", ".join([*[f"{k} long" for k in keys], "fp long", *["sketch array<long>"] * bool(sketch)])
+    return docs.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def _signed(x: int) -> int:
@@ -188,9 +206,20 @@ def _divide(rows: DataFrame, column: str, level: int, radius: int) -> DataFrame:
     return rows.select(F.explode(F.array(*keys)).alias("key"), *[c for c in rows.columns if c != "key"])
 
 
-def _links_between(labelled: DataFrame, parts: list[tuple[list[int], int]], radius: int, levels: int = 3) -> list[DataFrame]:
-    """Links of fingerprints whose labels differ. labelled: `fp` and `label`."""
-    stored, probes, found = _stored(labelled, parts), _probes(labelled, parts), []
+def _centers(stored: DataFrame, hot: DataFrame) -> DataFrame:
+    """key, center of the hot buckets: the member nearest to the bucket's majority of bits."""
+    rows = stored.join(hot, "key", "left_semi")
+    ones = rows.groupBy("key").agg(F.count("*").alias("n"), *[F.sum(F.getbit("other", F.lit(b))).alias(f"b{b}") for b in range(BITS)])
+    middle = None
+    for b in range(BITS):
+        bit = F.when(2 * F.col(f"b{b}") > F.col("n"), F.lit(_signed(1 << b)).cast("long")).otherwise(F.lit(0).cast("long"))
+        middle = bit if middle is None else middle.bitwiseOR(bit)
+    return rows.join(ones.select("key", middle.alias("middle")), "key").groupBy("key").agg(F.min_by("other", F.struct(F.bit_count(F.col("other").bitwiseXOR(F.col("middle"))), F.col("other"))).alias("center"))
+
+
+def _links_between(stored: DataFrame, probes: DataFrame, radius: int, levels: int = 3) -> list[DataFrame]:
+    """Links of fingerprints whose labels differ. stored: key, other, other_label; probes: key, fp, label."""
+    found = []
     for level in range(levels + 1):
         spread = cut(stored.groupBy("key").agg(F.min("other_label").alias("lo"), F.max("other_label").alias("hi"), F.count("*").alias("n")), "spread")
         # a bucket of one label has nothing for a probe of the same label
@@ -207,21 +236,28 @@ def _links_between(labelled: DataFrame, parts: list[tuple[list[int], int]], radi
     return found
 
 
-def link_components(fps: DataFrame, radius: int) -> DataFrame:
+def link_components(fps: DataFrame, radius: int, verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
     """node, root of the graph of distinct fingerprints `fp` linked at `radius` or fewer bits; lone ones aren't listed.
+    verify: takes links (fp, other) and returns those that hold.
 
-    Each bucket's smallest fingerprint is its pivot. Links to pivots come first, and with them most components; then only
-    pairs of different components are looked for, so that a bucket of thousands of near copies isn't paired with itself."""
+    A bucket's smallest and largest fingerprints are its pivots, and in a large bucket the one nearest to its middle. Links
+    to pivots come first, and with them most components; then only pairs of different components are looked for, so that
+    a bucket of thousands of near copies isn't paired with itself."""
     n, both = bit_statistics(fps)
-    parts = plan_parts(max(n, 2), both, radius)
-    pivots = _stored(fps, parts).groupBy("key").agg(F.min("other").alias("other"))
-    probes = _probes(fps, parts)
-    to_pivots = cut(probes.join(pivots, (probes["key"] == pivots["key"]) & (F.col("fp") != F.col("other")) & _near(radius)).select("fp", "other").distinct(), "links")
+    parts = plan_parts(max(n, LEAST_PLANNED), both, radius)
+    stored = _stored(fps, parts)
+    spread = cut(stored.groupBy("key").agg(F.min("other").alias("lo"), F.max("other").alias("hi"), F.count("*").alias("n")), "spread")
+    hits = cut(_probes(fps, parts).join(spread, "key").filter((F.col("lo") != F.col("fp")) | (F.col("hi") != F.col("fp"))), "hits")
+    hot = spread.filter(F.col("n") > HOT_BUCKET).select("key")
+    pivots = hits.select("fp", F.explode(F.array("lo", "hi")).alias("other"))
+    if hot.take(1):
+        pivots = pivots.unionByName(hits.join(_centers(stored, hot), "key").select("fp", F.col("center").alias("other")))
+    to_pivots = cut(verify(pivots.filter((F.col("fp") != F.col("other")) & _near(radius)).distinct()), "links")
     first = connected_components(to_pivots.select(F.col("fp").alias("u"), F.col("other").alias("v")))
     labelled = cut(fps.join(first, fps["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("label")), "labels")
     edges = to_pivots
-    for found in _links_between(labelled, parts, radius):
-        edges = edges.unionByName(found)
+    for found in _links_between(_stored(labelled, parts), hits.select("key", "fp").join(labelled, "fp"), radius):
+        edges = edges.unionByName(verify(found))
     return connected_components(edges.select(F.col("fp").alias("u"), F.col("other").alias("v")))
 
 
@@ -236,6 +272,38 @@ def near_duplicate_components(docs: DataFrame, shingle: int = 4, radius: int = 4
     return own.join(named.select("fp", "root").join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def similar_enough(sketches: DataFrame, least: float, size: int) -> Callable[[DataFrame], DataFrame]:
+    """Keeps the links whose texts' shingle sets have an estimated Jaccard similarity of `least` or more: the share of the
+    smallest `size` hashes of both sketches together that are in both. sketches: fp, sketch."""
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sketches.select("fp", F.col("sketch").alias("a")), "fp").join(sketches.select(F.col("fp").alias("other"), F.col("sketch").alias("b")), "other")
+        first = F.slice(F.array_sort(F.array_union("a", "b")), 1, size)
+        shared = F.size(F.array_intersect(first, F.array_intersect("a", "b")))
+        return both.filter((F.size(first) == 0) | (shared >= least * F.size(first))).select("fp", "other")
+
+    return verify
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 8, least: float = 0.7, sketch: int = 64) -> DataFrame:
+    """docs with one row, that of the smallest doc_id, of each component; all columns kept.
+
+    Links are fingerprints over `shingle` words that differ in at most radius of 64 bits (a similarity of 0.875 or more at
+    8) and whose sketches agree. Rows equal in doc_id and text are one text. Texts without words are one class."""
+    ship(docs.sparkSession)
+    marked = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    own = cut(fingerprints(marked, shingle, ("doc_id", "__h"), sketch), "fingerprints")
+    classes = own.groupBy("fp").agg(F.count("*").alias("n"), F.min_by("sketch", F.struct("doc_id", "__h")).alias("sketch"))
+    sketches = cut(classes.select("fp", "sketch"), "sketches")
+    roots = cut(link_components(sketches.select("fp"), radius, similar_enough(sketches, least, sketch)).withColumnRenamed("node", "fp"), "components")
+    rooted = own.select("doc_id", "__h", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).select("doc_id", "__h", "root")
+    rooted = cut(rooted, "rooted")
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__h")).alias("first"))
+    later = rooted.join(first, "root").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("__h") == F.col("first.__h")))).select(F.coalesce("doc_id", F.lit(-1)).alias("__d"), "__h").distinct()
+    kept = marked.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).join(later, ["__d", "__h"], "left_anti")
+    return kept.dropDuplicates(["__d", "__h"]).select(*docs.columns)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicate_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
