@@ -14,11 +14,13 @@ from tidemark.llm.line_dedup import op9_line_dedup
 from tidemark.llm.quality_rules import op10_quality
 from tidemark.llm.sentencepiece_codec import op1_sentencepiece
 from tidemark.llm.simhash import op8_simhash
+from tidemark.llm.token_packing import op3_token_packing
 from tidemark.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_licenses": op2_licenses,
+    "op3_token_packing": op3_token_packing,
     "op4_toxicity": op4_toxicity,
     "op5_language_model": op5_language_model,
     "op6_decontamination": op6_decontamination,

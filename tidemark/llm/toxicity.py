@@ -269,6 +269,23 @@ def score_texts(docs: DataFrame, columns: list[str], lexicon: dict[str, float],
     return picked.mapInArrow(run, schema)
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5, modulus: int = 5, remainder: int = 0) -> DataFrame:
+    """The rows whose text scores below the limit, all columns kept."""
+    lexicon, coefficients = learn(docs, labels, modulus, remainder)
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon, np.array(coefficients)))
+
+    def run(batches):
+        lex, w = shared.value
+        g = _grammar_of(id(lex), lex)
+        for b in batches:
+            if b.num_rows:
+                found = np.array([g.matches(t) for t in texts(b)]).reshape(-1, 2)
+                p = 1 / (1 + np.exp(-np.clip(_inputs(found[:, 0], found[:, 1]) @ w, -30, 30)))
+                yield b.filter(pa.array(p < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted of each row."""
     lexicon, coefficients = learn(docs, labels, modulus, remainder)
