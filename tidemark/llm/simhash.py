@@ -247,7 +247,11 @@ def link_components(fps: DataFrame, radius: int, verify: Callable[[DataFrame], D
     parts = plan_parts(max(n, LEAST_PLANNED), both, radius)
     stored = _stored(fps, parts)
     spread = cut(stored.groupBy("key").agg(F.min("other").alias("lo"), F.max("other").alias("hi"), F.count("*").alias("n")), "spread")
-    hits = cut(_probes(fps, parts).join(spread, "key").filter((F.col("lo") != F.col("fp")) | (F.col("hi") != F.col("fp"))), "hits")
+    # a bucket of one or two has no members but its pivots; of larger ones all probes are kept
+    probes = _probes(fps, parts)
+    to_lo, to_hi = (F.bit_count(F.col("fp").bitwiseXOR(F.col(c))) <= radius for c in ("lo", "hi"))
+    linked = ((F.col("fp") != F.col("lo")) & to_lo) | ((F.col("fp") != F.col("hi")) & to_hi) | (F.col("n") > 2)
+    hits = cut(probes.join(spread, (probes["key"] == spread["key"]) & linked).select(probes["key"], "fp", "lo", "hi", "n"), "hits")
     hot = spread.filter(F.col("n") > HOT_BUCKET).select("key")
     pivots = hits.select("fp", F.explode(F.array("lo", "hi")).alias("other"))
     if hot.take(1):
@@ -256,7 +260,7 @@ def link_components(fps: DataFrame, radius: int, verify: Callable[[DataFrame], D
     first = connected_components(to_pivots.select(F.col("fp").alias("u"), F.col("other").alias("v")))
     labelled = cut(fps.join(first, fps["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("label")), "labels")
     edges = to_pivots
-    for found in _links_between(_stored(labelled, parts), hits.select("key", "fp").join(labelled, "fp"), radius):
+    for found in _links_between(_stored(labelled, parts), hits.filter("n > 2").select("key", "fp").join(labelled, "fp"), radius):
         edges = edges.unionByName(verify(found))
     return connected_components(edges.select(F.col("fp").alias("u"), F.col("other").alias("v")))
 
