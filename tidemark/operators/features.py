@@ -13,31 +13,35 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import finite, ratio
 from tidemark.schema import FEATURES, PERIODS, TARGET
 
-W = Window.partitionBy("symbol").orderBy("date")
 #: Rows after which the recursive average starts a new block of its cumulative sum, far below overflow.
 BLOCK = 2048
 
 
+def W():  # noqa: N802
+    """A symbol's rows in the order of time."""
+    return Window.partitionBy("symbol").orderBy("date")
+
+
 def full(x: Column, n: int, value: Column, ahead: bool = False) -> Column:
     """value where x has n values in its frame."""
-    frame = W.rowsBetween(1, n) if ahead else W.rowsBetween(1 - n, 0)
+    frame = W().rowsBetween(1, n) if ahead else W().rowsBetween(1 - n, 0)
     return F.when(F.count(x).over(frame) == n, value)
 
 
 def with_position(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("pos", F.row_number().over(W) - 1)
+    return bars.withColumn("pos", F.row_number().over(W()) - 1)
 
 
 def simple_return(k: int, price: str = "close") -> Column:
-    return ratio(F.col(price), F.lag(price, k).over(W)) - 1
+    return ratio(F.col(price), F.lag(price, k).over(W())) - 1
 
 
 def rolling_volatility(x: str, n: int, periods: int = PERIODS) -> Column:
-    return full(F.col(x), n, F.stddev_samp(x).over(W.rowsBetween(1 - n, 0))) * math.sqrt(periods)
+    return full(F.col(x), n, F.stddev_samp(x).over(W().rowsBetween(1 - n, 0))) * math.sqrt(periods)
 
 
 def rolling_mean(x: str, n: int) -> Column:
-    return full(F.col(x), n, F.avg(x).over(W.rowsBetween(1 - n, 0)))
+    return full(F.col(x), n, F.avg(x).over(W().rowsBetween(1 - n, 0)))
 
 
 def wilder(df: DataFrame, x: str, out: str, period: int) -> DataFrame:
@@ -47,18 +51,18 @@ def wilder(df: DataFrame, x: str, out: str, period: int) -> DataFrame:
     blocks only the last one counts, as a^BLOCK is below any double's precision. df has `pos`."""
     a = (period - 1) / period
     block, off = F.floor(F.col("pos") / BLOCK), F.col("pos") % BLOCK
-    first = F.sum(x).over(W.rowsBetween(1 - period, 0))
+    first = F.sum(x).over(W().rowsBetween(1 - period, 0))
     term = F.when(F.col("pos") < period, F.lit(0.0)).when(F.col("pos") == period, first).otherwise(F.col(x))
     d = df.withColumn("_block", block).withColumn("_term", term * F.pow(F.lit(a), -off) / period)
     inner = Window.partitionBy("symbol", "_block").orderBy("date")
     d = d.withColumn("_part", F.sum("_term").over(inner.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(a), off))
-    d = d.withColumn("_before", F.coalesce(F.lag("_part").over(W), F.lit(0.0)))
+    d = d.withColumn("_before", F.coalesce(F.lag("_part").over(W()), F.lit(0.0)))
     carry = F.first("_before").over(inner.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(a), off + 1)
     return d.withColumn(out, F.when(F.col("pos") >= period, F.col("_part") + carry)).drop("_block", "_term", "_part", "_before")
 
 
 def relative_strength(df: DataFrame, period: int = 14, price: str = "close", out: str = "rsi_14") -> DataFrame:
-    change = F.col(price) - F.lag(price).over(W)
+    change = F.col(price) - F.lag(price).over(W())
     d = df.withColumn("_gain", F.greatest(change, F.lit(0.0))).withColumn("_loss", F.greatest(-change, F.lit(0.0)))
     d = wilder(wilder(d, "_gain", "_g", period), "_loss", "_l", period)
     g, l_ = F.col("_g"), F.col("_l")
@@ -67,7 +71,7 @@ def relative_strength(df: DataFrame, period: int = 14, price: str = "close", out
 
 
 def zscore(x: str, n: int) -> Column:
-    frame = W.rowsBetween(1 - n, 0)
+    frame = W().rowsBetween(1 - n, 0)
     return full(F.col(x), n, ratio(F.col(x) - F.avg(x).over(frame), F.stddev_samp(x).over(frame)))
 
 
@@ -85,8 +89,8 @@ def add_features(bars: DataFrame) -> DataFrame:
 
 def add_target(features: DataFrame, horizon: int = 5, periods: int = PERIODS, out: str = TARGET) -> DataFrame:
     """Volatility of the next `horizon` returns; null where they don't all exist. `label_end_date`: the last one's date."""
-    value = full(F.col("return_1d"), horizon, F.stddev_samp("return_1d").over(W.rowsBetween(1, horizon)), ahead=True) * math.sqrt(periods)
-    return features.withColumn(out, value).withColumn("label_end_date", F.lead("date", horizon).over(W))
+    value = full(F.col("return_1d"), horizon, F.stddev_samp("return_1d").over(W().rowsBetween(1, horizon)), ahead=True) * math.sqrt(periods)
+    return features.withColumn(out, value).withColumn("label_end_date", F.lead("date", horizon).over(W()))
 
 
 def return_mismatches(features: DataFrame, rtol: float = 1e-10, atol: float = 1e-12) -> DataFrame:
@@ -119,7 +123,7 @@ def split_suspects(d: DataFrame, limit: float = 0.25) -> DataFrame:
 def lookback_windows(d: DataFrame, length: int, columns: tuple[str, ...] = FEATURES) -> DataFrame:
     """symbol, date, window: the `length` complete rows up to each date; dates without a full history are left out."""
     complete = d.na.drop("any", subset=list(columns))
-    rows = F.collect_list(F.array(*[F.col(c) for c in columns])).over(W.rowsBetween(1 - length, 0))
+    rows = F.collect_list(F.array(*[F.col(c) for c in columns])).over(W().rowsBetween(1 - length, 0))
     return complete.select("symbol", "date", rows.alias("window")).filter(F.size("window") == length)
 
 
