@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, mix, raw_texts, ship, table
@@ -33,6 +33,8 @@ BITS = 64
 PROBE, CANDIDATE = 1.0, 0.5
 #: A stored value of a part with more distinct fingerprints than this is divided further.
 HOT_BUCKET = 256
+#: Members of a bucket that all probes are compared with at once; larger buckets take further steps.
+SMALL_BUCKET = 8
 #: Parts are planned for this many fingerprints at least: below it any plan is cheap.
 LEAST_PLANNED = 1 << 18
 
@@ -54,30 +56,32 @@ def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[i:j], 42) for i, j in zip(a[at : at + 65536], b[at : at + 65536])], np.uint64)
 
 
-def fingerprint(text: bytes, shingle: int, sketch: int = 0) -> tuple[int, np.ndarray]:
-    """The fingerprint, and the `sketch` smallest distinct shingle hashes, mixed anew."""
-    count, m, least = np.zeros(BITS, np.int64), 0, np.zeros(0, np.uint64)
+def fingerprint(text: bytes, shingle: int, sketch: int = 0) -> tuple[int, np.ndarray, int]:
+    """The fingerprint, the `sketch` smallest distinct shingle hashes, mixed anew, and how many distinct ones there are."""
+    count, m, all_ = np.zeros(BITS, np.int64), 0, np.zeros(0, np.uint64)
     for h in shingle_hashes(text, shingle):
         count += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         m += len(h)
         if sketch:
-            least = np.unique(np.concatenate([least, mix(h)]))[:sketch]
-    return int.from_bytes(np.packbits(count * 2 > m).tobytes(), "big"), least
+            all_ = np.unique(np.concatenate([all_, mix(h)]))
+    return int.from_bytes(np.packbits(count * 2 > m).tobytes(), "big"), all_[:sketch], len(all_)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, keys: Sequence[str] = ("doc_id",), sketch: int = 0) -> DataFrame:
-    """The key columns (longs), fp (the fingerprint's bits as a signed long) and, if asked for, sketch of each row."""
-    names = [*keys, "fp", *["sketch"] * bool(sketch)]
+    """The key columns (longs), fp (the fingerprint's bits as a signed long) and, if asked for, sketch and bucket of each row:
+    texts whose numbers of distinct shingles have a ratio of 0.8 or more are in the same bucket or in neighbouring ones."""
+    names = [*keys, "fp", *["sketch", "bucket"] * bool(sketch)]
 
     def run(batches):
         for b in batches:
             both = [fingerprint(t, shingle, sketch) for t in raw_texts(b)]
-            columns = [*b.columns[:-1], pa.array(np.array([f for f, _ in both], dtype=np.uint64).view(np.int64))]
+            columns = [*b.columns[:-1], pa.array(np.array([f for f, _, _ in both], dtype=np.uint64).view(np.int64))]
             if sketch:
-                columns.append(pa.array([k.view(np.int64) for _, k in both], pa.list_(pa.int64())))
+                columns.append(pa.array([k.view(np.int64) for _, k, _ in both], pa.list_(pa.int64())))
+                columns.append(pa.array([int(np.log(max(n, 1)) / np.log(1.25)) for _, _, n in both], pa.int32()))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = ", ".join([*[f"{k} long" for k in keys], "fp long", *["sketch array<long>"] * bool(sketch)])
+    schema = ", ".join([*[f"{k} long" for k in keys], "fp long", *["sketch array<long>", "bucket int"] * bool(sketch)])
     return docs.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -179,22 +183,31 @@ def _near(radius: int) -> Column:
 
 
 def _stored(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """Each fingerprint under its own value of each part; extra columns stay."""
-    places = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(_long(_mask(bits)))) for i, (bits, _) in enumerate(parts)]
-    return fps.select(F.explode(F.array(*places)).alias("key"), F.col("fp").alias("other"), *[F.col(c).alias(f"other_{c}") for c in fps.columns if c != "fp"])
+    """Each fingerprint under its own value of each part, and with `bucket` under the neighbouring buckets' too; other columns
+    stay."""
+    near = [F.col("bucket") + d for d in (-1, 0, 1)] if "bucket" in fps.columns else [F.lit(0)]
+    places = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(_long(_mask(bits))), b) for i, (bits, _) in enumerate(parts) for b in near]
+    return fps.select(F.explode(F.array(*places)).alias("key"), F.col("fp").alias("other"), *[F.col(c).alias(f"other_{c}") for c in fps.columns if c not in ("fp", "bucket")])
 
 
 def _probes(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """Each fingerprint under all values of each part within its threshold."""
+    """key, fp: each fingerprint under all values of each part within its threshold."""
     out = None
+    bucket = F.col("bucket") if "bucket" in fps.columns else F.lit(0)
     for i, (bits, t) in enumerate(parts):
         own = F.col("fp").bitwiseAND(_long(_mask(bits)))
         flips = F.array(*[_long(f) for f in _flips(bits, t)])
-        rows = fps.select(F.explode(F.transform(flips, lambda f: F.xxhash64(F.lit(i), own.bitwiseXOR(f)))).alias("key"), *fps.columns)
+        rows = fps.select(F.explode(F.transform(flips, lambda f: F.xxhash64(F.lit(i), own.bitwiseXOR(f), bucket))).alias("key"), "fp")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def _buckets(stored: DataFrame) -> DataFrame:
+    """key, n, members: up to SMALL_BUCKET of a bucket's fingerprints, the smallest ones."""
+    first = stored.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("other"))).filter(F.col("r") <= SMALL_BUCKET)
+    return stored.groupBy("key").agg(F.count("*").alias("n")).join(first.groupBy("key").agg(F.collect_list("other").alias("members")), "key")
+
+
 def _runs(level: int, radius: int) -> list[int]:
     """The 64 bits cut into radius + 1 runs, another way at each level: two linked fingerprints agree in one at least."""
     order = sorted(range(BITS), key=lambda b: (b * (1, 5, 11, 19)[level % 4] + level) % BITS)
@@ -240,28 +253,30 @@ def link_components(fps: DataFrame, radius: int, verify: Callable[[DataFrame], D
     """node, root of the graph of distinct fingerprints `fp` linked at `radius` or fewer bits; lone ones aren't listed.
     verify: takes links (fp, other) and returns those that hold.
 
-    A bucket's smallest and largest fingerprints are its pivots, and in a large bucket the one nearest to its middle. Links
-    to pivots come first, and with them most components; then only pairs of different components are looked for, so that
-    a bucket of thousands of near copies isn't paired with itself."""
+    Probes are compared with up to SMALL_BUCKET members of their bucket, its pivots; that is all there is to most buckets. A
+    large bucket's member nearest to its middle is a pivot too. Links to pivots come first, and with them most components;
+    then, in buckets with more members, only pairs of different components are looked for, so that a bucket of thousands
+    of near copies isn't paired with itself."""
     n, both = bit_statistics(fps)
-    parts = plan_parts(max(n, LEAST_PLANNED), both, radius)
+    planned = max(n, LEAST_PLANNED)
+    parts = plan_parts(planned, both * (planned / max(n, 1)), radius)
     stored = _stored(fps, parts)
-    spread = cut(stored.groupBy("key").agg(F.min("other").alias("lo"), F.max("other").alias("hi"), F.count("*").alias("n")), "spread")
-    # a bucket of one or two has no members but its pivots; of larger ones all probes are kept
+    buckets = cut(_buckets(stored), "buckets")
     probes = _probes(fps, parts)
-    to_lo, to_hi = (F.bit_count(F.col("fp").bitwiseXOR(F.col(c))) <= radius for c in ("lo", "hi"))
-    linked = ((F.col("fp") != F.col("lo")) & to_lo) | ((F.col("fp") != F.col("hi")) & to_hi) | (F.col("n") > 2)
-    hits = cut(probes.join(spread, (probes["key"] == spread["key"]) & linked).select(probes["key"], "fp", "lo", "hi", "n"), "hits")
-    hot = spread.filter(F.col("n") > HOT_BUCKET).select("key")
-    pivots = hits.select("fp", F.explode(F.array("lo", "hi")).alias("other"))
+    close = lambda m: (m != F.col("fp")) & (F.bit_count(F.col("fp").bitwiseXOR(m)) <= radius)
+    hits = cut(probes.join(buckets, (probes["key"] == buckets["key"]) & ((F.col("n") > SMALL_BUCKET) | F.exists("members", close))).select(probes["key"], "fp", F.filter("members", close).alias("members"), "n"), "hits")
+    hot = buckets.filter(F.col("n") > HOT_BUCKET).select("key")
+    pivots = hits.select("fp", F.explode("members").alias("other"))
     if hot.take(1):
-        pivots = pivots.unionByName(hits.join(_centers(stored, hot), "key").select("fp", F.col("center").alias("other")))
-    to_pivots = cut(verify(pivots.filter((F.col("fp") != F.col("other")) & _near(radius)).distinct()), "links")
-    first = connected_components(to_pivots.select(F.col("fp").alias("u"), F.col("other").alias("v")))
-    labelled = cut(fps.join(first, fps["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("label")), "labels")
+        pivots = pivots.unionByName(hits.join(_centers(stored, hot), "key").select("fp", F.col("center").alias("other")).filter((F.col("fp") != F.col("other")) & _near(radius)))
+    to_pivots = cut(verify(pivots.distinct()), "links")
     edges = to_pivots
-    for found in _links_between(_stored(labelled, parts), hits.filter("n > 2").select("key", "fp").join(labelled, "fp"), radius):
-        edges = edges.unionByName(verify(found))
+    if hits.filter(F.col("n") > SMALL_BUCKET).take(1):
+        first = connected_components(to_pivots.select(F.col("fp").alias("u"), F.col("other").alias("v")))
+        labelled = cut(fps.join(first, fps["fp"] == first["node"], "left").select(*fps.columns, F.coalesce("root", "fp").alias("label")), "labels")
+        left = hits.filter(F.col("n") > SMALL_BUCKET).select("key", "fp")
+        for found in _links_between(_stored(labelled, parts), left.join(labelled.select("fp", "label"), "fp"), radius):
+            edges = edges.unionByName(verify(found))
     return connected_components(edges.select(F.col("fp").alias("u"), F.col("other").alias("v")))
 
 
@@ -297,9 +312,9 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 8,
     ship(docs.sparkSession)
     marked = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     own = cut(fingerprints(marked, shingle, ("doc_id", "__h"), sketch), "fingerprints")
-    classes = own.groupBy("fp").agg(F.count("*").alias("n"), F.min_by("sketch", F.struct("doc_id", "__h")).alias("sketch"))
-    sketches = cut(classes.select("fp", "sketch"), "sketches")
-    roots = cut(link_components(sketches.select("fp"), radius, similar_enough(sketches, least, sketch)).withColumnRenamed("node", "fp"), "components")
+    classes = own.groupBy("fp").agg(F.count("*").alias("n"), F.min_by(F.struct("sketch", "bucket"), F.struct("doc_id", "__h")).alias("s"))
+    sketches = cut(classes.select("fp", "s.sketch", "s.bucket"), "sketches")
+    roots = cut(link_components(sketches.select("fp", "bucket"), radius, similar_enough(sketches, least, sketch)).withColumnRenamed("node", "fp"), "components")
     rooted = own.select("doc_id", "__h", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).select("doc_id", "__h", "root")
     rooted = cut(rooted, "rooted")
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__h")).alias("first"))
