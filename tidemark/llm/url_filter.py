@@ -60,11 +60,11 @@ def _hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2")]
 
 
-def _places(h1: np.ndarray, h2: np.ndarray, level: int, bits: int) -> np.ndarray:
+def _places(h1: np.ndarray, h2: np.ndarray, level: int, bits: int, probes: int) -> np.ndarray:
     salt = np.uint64((level + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     a, b = mix(h1 ^ salt), mix(h2 + salt) | np.uint64(1)
     with np.errstate(over="ignore"):
-        return np.stack([(a + np.uint64(k) * b) % np.uint64(bits) for k in range(PROBES)])
+        return np.stack([(a + np.uint64(k) * b) % np.uint64(bits) for k in range(probes)])
 
 
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -74,12 +74,13 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
 class Cascade:
     """Alternating Bloom filters; member() is exact for all keys of the universe it was built over."""
 
-    def __init__(self) -> None:
+    def __init__(self, bits_per_key: int = BITS_PER_KEY, probes: int = PROBES) -> None:
+        self.bits_per_key, self.probes = bits_per_key, probes
         self.levels: list[tuple[int, np.ndarray]] = []  # bits, words
 
     def passes(self, level: int, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         bits, words = self.levels[level]
-        at = _places(h1, h2, level, bits)
+        at = _places(h1, h2, level, bits, self.probes)
         return (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).all(axis=0)
 
     def member(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -94,12 +95,12 @@ class Cascade:
 
     def add(self, keys: DataFrame, n: int) -> None:
         """One level over n keys: each task sets its bits, equal words meet by OR."""
-        level, bits = len(self.levels), max(64, n * BITS_PER_KEY)
+        probes, level, bits = self.probes, len(self.levels), max(64, n * self.bits_per_key)
 
         def run(batches):
             words = np.zeros((bits + 63) // 64, np.uint64)
             for b in batches:
-                at = _places(_column(b, "h1"), _column(b, "h2"), level, bits).ravel()
+                at = _places(_column(b, "h1"), _column(b, "h2"), level, bits, probes).ravel()
                 np.bitwise_or.at(words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
             used = np.flatnonzero(words)
             if len(used):
@@ -119,11 +120,11 @@ def _hits(keys: DataFrame, cascade: Cascade, level: int) -> DataFrame:
     return keys.select("h1", "h2").mapInArrow(run, "h1 long, h2 long")
 
 
-def build_cascade(universe: DataFrame, max_keys: int = 4_000_000) -> Cascade | None:
+def build_cascade(universe: DataFrame, max_keys: int = 4_000_000, bits_per_key: int = BITS_PER_KEY, probes: int = PROBES) -> Cascade | None:
     """universe: one row for each key, with `key` and `listed`. None if the list is too long to be sent to all executors."""
     keys = cut(universe.select(*_hashes(F.col("key")), "listed"), "url-keys")
     listed, rest = keys.filter("listed"), keys.filter("not listed")
-    cascade, made = Cascade(), [keys]
+    cascade, made = Cascade(bits_per_key, probes), [keys]
     inside, outside = listed, rest
     n = inside.count()
     if n > max_keys:
