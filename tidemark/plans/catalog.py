@@ -615,6 +615,18 @@ def agglomerative_clusters(spark, sf_dir):
     return p.groupBy("symbol", "id", "label").agg(F.count("*").alias("n_rows"))
 
 
+@query("sequence_models")
+def sequence_models(spark, sf_dir):
+    """GRU and Transformer over 20-bar windows, pretrained and fine-tuned on the training rows of each series."""
+    from tidemark.models.sequence import transfer_runs
+
+    d = event_labels(spark, sf_dir)
+    w = features.lookback_windows(features.add_features(bars.event_bars(spark, sf_dir)), 20)
+    windows = d.filter(F.col("split").isin("train", "validation")).select("symbol", "date", "row", F.col("split").alias("part"), F.col(LABEL).alias("y")).join(w, ["symbol", "date"])
+    scores = transfer_runs(windows, seeds=(0,), pretraining=1, epochs=2, width=8).filter("part = 'validation'")
+    return metrics.rank_metrics(scores.groupBy("symbol", "kind", "row", "y").agg(F.avg("score").alias("score")), ["symbol", "kind"])
+
+
 @query("streaming_bars", o.bars("events") + f" SELECT symbol, date, {_BAR_COLUMNS} FROM bars")
 def streaming_bars(spark, sf_dir):
     """The stream's plan over the whole table at once: the same function serves both."""
