@@ -2,8 +2,9 @@
 
 Each text gives two histograms: its characters by class (lower case and other, upper case, digits, punctuation, symbols,
 white space, bytes beyond ASCII) and its words over a list of common words plus all others. The reference of a language is
-the sum of its texts' histograms over all rows; languages with fewer than `MIN_DOCS` rows, and rows without a language, take
-the sum over all rows. A text is dropped if either histogram's Jensen-Shannon distance (base 2, 0 to 1) from its reference
+the sum of its texts' histograms, first of all rows, then of those whose characters are no farther from the first reference
+than the mean, so that junk has no part in it; languages with fewer than `MIN_DOCS` such rows, and rows without a language,
+take the sum over all languages. A text is dropped if either histogram's Jensen-Shannon distance (base 2, 0 to 1) from its reference
 is over its limit; texts with fewer than `MIN_WORDS` words are too short to be compared and pass this rule.
 
 Before that the base rules count, as the contract fixes them, words of runs of other than white space. A word repeats if it
@@ -26,7 +27,8 @@ SPACES = " \t\n\x0b\f\r"
 COMMON = ("the", "of", "and", "to", "in", "is", "that", "for", "der", "die", "und", "das", "den", "mit", "von", "ist", "le", "la", "de", "et", "les", "des", "que", "un", "el", "los", "y", "en", "por", "con", "se", "del")
 WINDOW = 8
 MIN_WORDS, MIN_DOCS = 50, 20
-CHARS_LIMIT, WORDS_LIMIT = 0.35, 0.45
+#: A distance's limit is the first figure plus the second divided by the number of words: short texts scatter more.
+CHARS_LIMIT, WORDS_LIMIT = (0.165, 3.0), (0.32, 2.0)
 
 
 def _words(text: Column) -> Column:
@@ -94,17 +96,30 @@ def _reference(rows: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     return out.select(*keys, "n", _share(F.array(*[f"c{i}" for i in range(n_chars)])).alias(f"{prefix}_chars"), _share(F.array(*[f"w{i}" for i in range(n_words)])).alias(f"{prefix}_words"))
 
 
-def judge_quality(docs: DataFrame, min_words: int = MIN_WORDS, chars_limit: float = CHARS_LIMIT, words_limit: float = WORDS_LIMIT) -> DataFrame:
-    """The base counts, both distances (null where a text is too short) and the verdict of each row."""
-    f = cut(features(docs), "quality")
-    own = _reference(f.filter("lang is not null"), ["lang"], "own").filter(F.col("n") >= MIN_DOCS).drop("n")
-    all_ = _reference(f, [], "all").drop("n")
+def _with_distances(f: DataFrame, base: DataFrame) -> DataFrame:
+    """Rows of features with both distances from their references, which the rows of `base` give."""
+    own = _reference(base.filter("lang is not null"), ["lang"], "own").filter(F.col("n") >= MIN_DOCS).drop("n")
+    all_ = _reference(base, [], "all").drop("n")
     d = f.join(own, "lang", "left").crossJoin(F.broadcast(all_))  # one row
-    d = d.select("*", _share(F.col("chars")).alias("p"), _share(F.col("common")).alias("w"), F.coalesce("own_chars", "all_chars").alias("rp"), F.coalesce("own_words", "all_words").alias("rw"))
+    d = d.select(*f.columns, _share(F.col("chars")).alias("p"), _share(F.col("common")).alias("w"), F.coalesce("own_chars", "all_chars").alias("rp"), F.coalesce("own_words", "all_words").alias("rw"))
+    return d.select(*f.columns, jensen_shannon("p", "rp").alias("chars_distance"), jensen_shannon("w", "rw").alias("words_distance"))
+
+
+def judge_quality(docs: DataFrame, min_words: int = MIN_WORDS, chars_limit: tuple[float, float] = CHARS_LIMIT, words_limit: tuple[float, float] = WORDS_LIMIT) -> DataFrame:
+    """The base counts, both distances (null where a text is too short) and the verdict of each row."""
+    return _verdicts(cut(features(docs), "quality"), min_words, chars_limit, words_limit)
+
+
+def _verdicts(f: DataFrame, min_words: int, chars_limit: tuple[float, float], words_limit: tuple[float, float]) -> DataFrame:
+    first = _with_distances(f, f).filter(F.col("n_words") >= min_words)
+    middle = first.groupBy(F.coalesce("lang", F.lit("")).alias("l")).agg(F.avg("chars_distance").alias("middle"))
+    usual = first.join(middle, F.coalesce("lang", F.lit("")) == F.col("l")).filter(F.col("chars_distance") <= F.col("middle")).select(*f.columns)
+    d = _with_distances(f, cut(usual, "usual"))
     long_enough = F.col("n_words") >= min_words
-    d = d.withColumn("chars_distance", F.when(long_enough, jensen_shannon("p", "rp"))).withColumn("words_distance", F.when(long_enough, jensen_shannon("w", "rw")))
+    d = d.withColumns({c: F.when(long_enough, F.col(c)) for c in ("chars_distance", "words_distance")})
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    near = (F.coalesce("chars_distance", F.lit(0.0)) <= chars_limit) & (F.coalesce("words_distance", F.lit(0.0)) <= words_limit)
+    within = lambda c, limit: F.coalesce(F.col(c) <= limit[0] + F.try_divide(F.lit(limit[1]), F.col("n_words")), F.lit(True))
+    near = within("chars_distance", chars_limit) & within("words_distance", words_limit)
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & near).alias("kept"), F.round("chars_distance", 6).alias("chars_distance"), F.round("words_distance", 6).alias("words_distance"))
 
 
