@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, mix, raw_texts, ship, table
+from tidemark.llm.common import cut, drop, mix, raw_texts, ship, table
 from tidemark.llm.components import connected_components
 
 BITS = 64
@@ -56,32 +56,41 @@ def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[i:j], 42) for i, j in zip(a[at : at + 65536], b[at : at + 65536])], np.uint64)
 
 
-def fingerprint(text: bytes, shingle: int, sketch: int = 0) -> tuple[int, np.ndarray, int]:
-    """The fingerprint, the `sketch` smallest distinct shingle hashes, mixed anew, and how many distinct ones there are."""
-    count, m, all_ = np.zeros(BITS, np.int64), 0, np.zeros(0, np.uint64)
+def _ones(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: bytes, shingle: int, sketch: int = 0) -> tuple[int, int, np.ndarray, int]:
+    """The fingerprint and, if a sketch is asked for, a second one from the hashes mixed anew, the `sketch` smallest of these
+    and how many distinct ones there are."""
+    count, again, m, all_ = np.zeros(BITS, np.int64), np.zeros(BITS, np.int64), 0, np.zeros(0, np.uint64)
     for h in shingle_hashes(text, shingle):
-        count += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        count += _ones(h)
         m += len(h)
         if sketch:
-            all_ = np.unique(np.concatenate([all_, mix(h)]))
-    return int.from_bytes(np.packbits(count * 2 > m).tobytes(), "big"), all_[:sketch], len(all_)
+            h = mix(h)
+            again += _ones(h)
+            all_ = np.unique(np.concatenate([all_, h]))
+    first, second = (int.from_bytes(np.packbits(c * 2 > m).tobytes(), "big") for c in (count, again))
+    return first, second, all_[:sketch], len(all_)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, keys: Sequence[str] = ("doc_id",), sketch: int = 0) -> DataFrame:
-    """The key columns (longs), fp (the fingerprint's bits as a signed long) and, if asked for, sketch and bucket of each row:
+    """The key columns (longs), fp (the fingerprint's bits as a signed long) and, if asked for, fp2, sketch and bucket of each row:
     texts whose numbers of distinct shingles have a ratio of 0.8 or more are in the same bucket or in neighbouring ones."""
-    names = [*keys, "fp", *["sketch", "bucket"] * bool(sketch)]
+    names = [*keys, "fp", *["fp2", "sketch", "bucket"] * bool(sketch)]
 
     def run(batches):
         for b in batches:
             both = [fingerprint(t, shingle, sketch) for t in raw_texts(b)]
-            columns = [*b.columns[:-1], pa.array(np.array([f for f, _, _ in both], dtype=np.uint64).view(np.int64))]
+            signed = [pa.array(np.array([x[i] for x in both], dtype=np.uint64).view(np.int64)) for i in (0, 1)]
+            columns = [*b.columns[:-1], signed[0]]
             if sketch:
-                columns.append(pa.array([k.view(np.int64) for _, k, _ in both], pa.list_(pa.int64())))
-                columns.append(pa.array([int(np.log(max(n, 1)) / np.log(1.25)) for _, _, n in both], pa.int32()))
+                columns += [signed[1], pa.array([(x[2] >> np.uint64(33)).astype(np.int32) for x in both], pa.list_(pa.int32()))]  # in the same order
+                columns.append(pa.array([int(np.log(max(x[3], 1)) / np.log(1.25)) for x in both], pa.int32()))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = ", ".join([*[f"{k} long" for k in keys], "fp long", *["sketch array<long>", "bucket int"] * bool(sketch)])
+    schema = ", ".join([*[f"{k} long" for k in keys], "fp long", *["fp2 long", "sketch array<int>", "bucket int"] * bool(sketch)])
     return docs.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -277,7 +286,10 @@ def link_components(fps: DataFrame, radius: int, verify: Callable[[DataFrame], D
         left = hits.filter(F.col("n") > SMALL_BUCKET).select("key", "fp")
         for found in _links_between(_stored(labelled, parts), left.join(labelled.select("fp", "label"), "fp"), radius):
             edges = edges.unionByName(verify(found))
-    return connected_components(edges.select(F.col("fp").alias("u"), F.col("other").alias("v")))
+    out = connected_components(edges.select(F.col("fp").alias("u"), F.col("other").alias("v")))
+    for t in (hits, buckets):
+        drop(t)
+    return out
 
 
 def near_duplicate_components(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -304,19 +316,30 @@ def similar_enough(sketches: DataFrame, least: float, size: int) -> Callable[[Da
     return verify
 
 
-def without_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 8, least: float = 0.7, sketch: int = 64) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 8, least: float = 0.77, sketch: int = 128) -> DataFrame:
     """docs with one row, that of the smallest doc_id, of each component; all columns kept.
 
     Links are fingerprints over `shingle` words that differ in at most radius of 64 bits (a similarity of 0.875 or more at
-    8) and whose sketches agree. Rows equal in doc_id and text are one text. Texts without words are one class."""
+    8) and whose sketches agree. Two fingerprints from independent bits each give links, since one alone misses some pairs
+    that are similar enough. Rows equal in doc_id and text are one text. Texts without words are one class."""
     ship(docs.sparkSession)
     marked = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     own = cut(fingerprints(marked, shingle, ("doc_id", "__h"), sketch), "fingerprints")
-    classes = own.groupBy("fp").agg(F.count("*").alias("n"), F.min_by(F.struct("sketch", "bucket"), F.struct("doc_id", "__h")).alias("s"))
-    sketches = cut(classes.select("fp", "s.sketch", "s.bucket"), "sketches")
-    roots = cut(link_components(sketches.select("fp", "bucket"), radius, similar_enough(sketches, least, sketch)).withColumnRenamed("node", "fp"), "components")
-    rooted = own.select("doc_id", "__h", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).select("doc_id", "__h", "root")
-    rooted = cut(rooted, "rooted")
+    rooted = own.select("doc_id", "__h", "fp", "fp2")
+    for i, name in enumerate(("fp", "fp2")):
+        classes = own.groupBy(F.col(name).alias("fp")).agg(F.min_by(F.struct("sketch", "bucket"), F.struct("doc_id", "__h")).alias("s"))
+        sketches = cut(classes.select("fp", "s.sketch", "s.bucket"), "sketches")
+        roots = cut(link_components(sketches.select("fp", "bucket"), radius, similar_enough(sketches, least, sketch)), "components")
+        drop(sketches)
+        joined = rooted.join(roots.withColumnRenamed("node", name), name, "left")
+        rooted = joined.withColumn(f"root{i}", F.xxhash64(F.lit(i), F.coalesce("root", name))).drop("root")
+    rooted = cut(rooted.select("doc_id", "__h", "root0", "root1"), "rooted")
+    # groups that share a text are one
+    shared = rooted.select("root0", "root1").distinct()
+    several = shared.groupBy("root1").count().filter("count > 1").select("root1")
+    joint = connected_components(shared.join(several, "root1", "left_semi").select(F.col("root0").alias("u"), F.col("root1").alias("v")))
+    rooted = rooted.join(joint.withColumnRenamed("node", "root0"), "root0", "left").withColumn("root", F.coalesce("root", "root0")).select("doc_id", "__h", "root")
+    rooted = cut(rooted, "groups")
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__h")).alias("first"))
     later = rooted.join(first, "root").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("__h") == F.col("first.__h")))).select(F.coalesce("doc_id", F.lit(-1)).alias("__d"), "__h").distinct()
     kept = marked.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).join(later, ["__d", "__h"], "left_anti")
