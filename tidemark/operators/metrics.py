@@ -123,3 +123,15 @@ def baselines(d: DataFrame, target: str, label: str, persistence: str) -> DataFr
     """Rows with the predictions of three baselines: training mean, training majority, persistence. d has split, threshold."""
     train = d.filter(F.col("split") == "train").groupBy("symbol").agg(F.avg(target).alias("mean_baseline"), (F.avg(label) >= 0.5).cast("int").alias("majority_baseline"))
     return d.join(train, "symbol").withColumn("persistence_baseline", F.col(persistence)).withColumn("persistence_label", (F.col(persistence) > F.col("threshold")).cast("int"))
+
+
+def clipped_metrics(d: DataFrame, keys: list[str], y: str = "y", p: str = "prediction") -> DataFrame:
+    """Metrics of the predictions and of the same raised to zero where they are negative."""
+    raw = regression_metrics(d, keys, y, p)
+    clipped = regression_metrics(d.withColumn(p, F.greatest(F.col(p), F.lit(0.0))), keys, y, p).drop("n", "n_negative")
+    return raw.join(clipped.select(*keys, *[F.col(c).alias(f"clipped_{c}") for c in clipped.columns if c not in keys]), keys)
+
+
+def half_vote(probability: Column, total: Column) -> Column:
+    """A quarter of the log odds times the votes' total: half the margin of boosted votes."""
+    return F.log(probability / (1 - probability)) * total / 4

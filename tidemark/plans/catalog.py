@@ -555,6 +555,78 @@ def event_windows(spark, sf_dir):
     return tidy(features.event_windows(d, event_spikes(spark, sf_dir).filter("is_spike")).select("symbol", "event_pos", "offset", "return_1d"))
 
 
+@query("clipped_metrics", _SCORED + f", p AS (SELECT *, prediction - threshold AS q FROM scored) SELECT symbol, split, count(*) AS n, count(*) FILTER (q < 0) AS n_negative, {o.rounded('mae=avg(abs(target - q)); rmse=sqrt(avg((target - q) ** 2)); clipped_mae=avg(abs(target - greatest(q, 0))); clipped_rmse=sqrt(avg((target - greatest(q, 0)) ** 2))', 5)} FROM p GROUP BY ALL")
+def clipped_metrics(spark, sf_dir):
+    d = scored(spark, sf_dir).withColumn("prediction", F.col("prediction") - F.col("threshold"))
+    return tidy(metrics.clipped_metrics(d, KEYS, "target").select("symbol", "split", "n", "n_negative", "mae", "rmse", "clipped_mae", "clipped_rmse"), 5)
+
+
+@query("segment_metrics", o.spikes("events") + f", s AS (SELECT symbol, CASE WHEN is_spike THEN 'direct_spike' WHEN coverage > 0 THEN 'spike_affected' ELSE 'unaffected' END AS segment, target_volatility_5d AS t, volatility_5d AS p FROM covered WHERE split = 'test') SELECT symbol, segment, count(*) AS n, {o.rounded('mae=avg(abs(t - p)); rmse=sqrt(avg((t - p) ** 2))', 5)} FROM s GROUP BY ALL")
+def segment_metrics(spark, sf_dir):
+    d = event_spikes(spark, sf_dir).filter("split = 'test'").select("symbol", F.col("diagnostic_segment").alias("segment"), F.col(TARGET).alias("y"), F.col("volatility_5d").alias("prediction"))
+    return tidy(metrics.regression_metrics(d, ["symbol", "segment"]).select("symbol", "segment", "n", "mae", "rmse"), 5)
+
+
+@query("half_vote", _SCORED + f" SELECT symbol, date, {o.rounded('vote=ln((1 / (1 + exp(-score))) / (1 - 1 / (1 + exp(-score)))) * 3 / 4', 4)} FROM scored WHERE split = 'validation' AND score < 20")
+def half_vote(spark, sf_dir):
+    from tidemark.functions.scalar import sigmoid
+
+    d = scored(spark, sf_dir).filter("split = 'validation' AND score < 20")
+    return tidy(d.select("symbol", "date", metrics.half_vote(sigmoid(F.col("score")), F.lit(3)).alias("vote")), 4)
+
+
+@query("align_clusters", _CLUSTERS + ", n AS (SELECT y AS a, cluster AS b, count(*) AS n FROM cl GROUP BY ALL) SELECT b::BIGINT AS b, arg_max(a, n * 10 - a)::BIGINT AS \"as\" FROM n GROUP BY b")
+def align_clusters(spark, sf_dir):
+    return tidy(metrics.align_clusters(cluster_points(spark, sf_dir).select(F.col("y").alias("a"), F.col("cluster").alias("b")), "a", "b"))
+
+
+@query("against_baseline", _SCORED + f""", m AS (SELECT symbol, unnest(['short', 'long', 'mean']) AS model, unnest([avg(abs(target - prediction)), avg(abs(target - volatility_20d)), avg(abs(target - threshold))]) AS v FROM scored WHERE split = 'test' GROUP BY symbol)
+SELECT symbol, model, {o.rounded('v; best_baseline=max(v) FILTER (model = $$mean$$) OVER (PARTITION BY symbol)', 5)}, v < max(v) FILTER (model = 'mean') OVER (PARTITION BY symbol) AS beats_baseline FROM m""")
+def against_baseline(spark, sf_dir):
+    d = scored(spark, sf_dir).filter("split = 'test'")
+    mae = lambda c: F.avg(F.abs(F.col("target") - F.col(c)))
+    m = d.groupBy("symbol").agg(*[mae(c).alias(n) for n, c in (("short", "prediction"), ("long", "volatility_20d"), ("mean", "threshold"))]).unpivot(["symbol"], ["short", "long", "mean"], "model", "v")
+    return tidy(resample.against_baseline(m, ["symbol"], "v", False, ["mean"]), 5)
+
+
+@query("set_operations", o.labeled("events") + """, a AS (SELECT DISTINCT date FROM labeled WHERE symbol = 'click'), b AS (SELECT DISTINCT date FROM labeled WHERE symbol = 'view')
+SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'first_only', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)""")
+def set_operations(spark, sf_dir):
+    d = event_labels(spark, sf_dir)
+    a, b = (d.filter(F.col("symbol") == s).select("date").distinct() for s in ("click", "view"))
+    n = lambda part, x: x.agg(F.lit(part).alias("part"), F.count("*").alias("n"))
+    return n("both", a.intersect(b)).unionByName(n("first_only", a.exceptAll(b))).unionByName(n("either", a.unionByName(b).distinct()))
+
+
+@query("payload_rows", o.bars("orders") + f" SELECT date, {o.rounded('open; high; low; close; volume', 4)} FROM bars")
+def payload_rows(spark, sf_dir):
+    """Bars as text in JSON payloads, one a symbol and year, and back."""
+    d = bars.order_bars(spark, sf_dir)
+    money = lambda c: F.concat(F.lit("$"), F.format_number(c, 4))
+    row = F.struct(F.date_format("date", "MM/dd/yyyy").alias("date"), *[money(c).alias(c) for c in ("open", "high", "low", "close")], F.col("volume").cast("string").alias("volume"))
+    p = d.groupBy("symbol", F.year("date").alias("year")).agg(F.to_json(F.struct(F.struct(F.lit(200).alias("rCode")).alias("status"), F.struct(F.collect_list(row).alias("rows")).alias("data"))).alias("payload"))
+    return tidy(bars.payload_rows(p.select("payload")), 4)
+
+
+@query("row_violations", o.bars("orders") + ", p AS (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY close, date) AS place FROM bars), q AS (SELECT *, lag(date) OVER (PARTITION BY symbol ORDER BY place) AS before FROM p) SELECT symbol, 0::BIGINT AS n_repeated, count(*) FILTER (date >= before) AS n_out_of_order, 0::BIGINT AS n_blank FROM q GROUP BY symbol")
+def row_violations(spark, sf_dir):
+    from pyspark.sql import Window
+
+    d = bars.order_bars(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy("symbol").orderBy("close", "date")))
+    return bars.row_violations(d)
+
+
+@query("years_before", o.bars("lineitem") + " SELECT date, (date - INTERVAL 10 YEAR)::DATE AS earlier FROM bars")
+def years_before(spark, sf_dir):
+    return bars.lineitem_bars(spark, sf_dir).select("date", bars.years_before(F.col("date"), 10).alias("earlier"))
+
+
+@query("report_json", o.labeled("events") + """ SELECT symbol, '{"n":' || count(*) || ',"n_high":' || sum(target_high_volatility) || ',"bad":null}' AS json FROM labeled GROUP BY symbol""")
+def report_json(spark, sf_dir):
+    d = event_labels(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n"), F.sum(LABEL).alias("n_high"), F.lit(float("nan")).alias("bad"))
+    return reports.as_json(d, ["symbol"])
+
+
 def modeling_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = event_labels(spark, sf_dir).filter(F.col("split").isin("train", "validation"))
     return d.select("symbol", F.col("row").cast("long").alias("row"), F.col("split").alias("part"), F.col(LABEL).alias("y"), *X)

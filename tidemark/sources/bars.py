@@ -108,3 +108,26 @@ def differing_rows(a: DataFrame, b: DataFrame, keys: list[str], columns: list[st
         near = x.eqNullSafe(y) if a.schema[c].dataType.typeName() not in ("double", "float") else x.eqNullSafe(y) | F.coalesce(F.abs(x - y) <= atol + rtol * F.abs(y), F.lit(False))
         same = same & near
     return left.join(right, keys, "full").filter(~same).select(*keys)
+
+
+def payload_rows(payload: DataFrame, column: str = "payload") -> DataFrame:
+    """Bars from JSON payloads {"status": {"rCode": 200}, "data": {"rows": [{date, open, ...}]}}: payloads of another status
+    or that aren't such JSON give none."""
+    row = "struct<date:string,open:string,high:string,low:string,close:string,volume:string>"
+    parsed = payload.select(F.from_json(column, f"struct<status:struct<rCode:int>,data:struct<rows:array<{row}>>>").alias("j"))
+    return normalize_rows(parsed.filter(F.col("j.status.rCode") == 200).select(F.inline("j.data.rows")))
+
+
+def row_violations(rows: DataFrame) -> DataFrame:
+    """One row: repeated dates, neighbours that aren't in falling order (by `place`), blank cells."""
+    from pyspark.sql import Window
+
+    cells = ("date", *PRICES, "volume")
+    d = rows.withColumn("_before", F.lag("date").over(Window.partitionBy("symbol").orderBy("place")))
+    blank = sum((F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")).cast("long") for c in cells)
+    return d.groupBy("symbol").agg((F.count("date") - F.countDistinct("date")).alias("n_repeated"), F.count_if(F.col("date") >= F.col("_before")).alias("n_out_of_order"), F.sum(blank).alias("n_blank"))
+
+
+def years_before(date: Column, years: int) -> Column:
+    """The same day some years earlier; 29 February becomes the 28th."""
+    return F.add_months(date, -12 * years)
