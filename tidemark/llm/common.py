@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -45,6 +46,14 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release() -> None:
+    """At a task's end: gives memory back to the system, since Python workers live on and executors' memory is shared."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The batch's texts; null counts as empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]

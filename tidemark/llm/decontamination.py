@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship, table, texts
+from tidemark.llm.common import release, ship, table, texts
 
 ERROR_RATE, MIN_CHARS, BLOCK_CHARS = 0.05, 40, 4_000_000
 
@@ -158,6 +158,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_R
             held = Items(shared.value, error_rate)
             for b in batches:
                 yield b.filter(pa.array([not held.search(t) for t in texts(b)], pa.bool_()))
+            release()
 
         out = out.mapInArrow(run, docs.schema)
     return out

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, drop, ship, table
+from tidemark.llm.common import cut, drop, release, ship, table
 
 MIN_WORDS = 50
 PLACE = ["d", "h"]
@@ -66,6 +66,7 @@ def line_table(docs: DataFrame, least: int) -> DataFrame:
                     out = [[], [], [], [], [], []]
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+        release()
 
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
     names = ["d", "h", "i", "name", "forward", "back"]
@@ -74,8 +75,10 @@ def line_table(docs: DataFrame, least: int) -> DataFrame:
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """Rows whose class has another member."""
-    return rows.join(rows.groupBy("name").count().filter("count > 1").select("name"), "name", "left_semi")
+    """Rows whose class has another member. The classes are counted and written first: counting in the tasks of the join would
+    bring all rows of a frequent line together, while the join alone can be split."""
+    several = cut(rows.groupBy("name").count().filter("count > 1").select("name"), "names")
+    return rows.join(several, "name", "left_semi")
 
 
 def _later_windows(first: DataFrame, classes: DataFrame, size: int) -> DataFrame:
@@ -85,17 +88,18 @@ def _later_windows(first: DataFrame, classes: DataFrame, size: int) -> DataFrame
     heads = classes.select(*PLACE, F.col("i").alias("start"), F.col("name").alias("head"))
     tails = classes.select(*PLACE, F.col("i").alias("last"), F.col("name").alias("tail"))
     named = spans.join(heads, [*PLACE, "start"]).withColumn("last", F.col("start") + F.col("n") - size).join(tails, [*PLACE, "last"]).drop("last")
-    if size > 1:
-        named = cut(named, "windows")
+    named = cut(named, "windows")
     where = F.struct("d", "h", "start")
-    earliest = named.groupBy("head", "tail", "n").agg(F.min(where).alias("earliest"), F.count("*").alias("members")).filter("members > 1").drop("members")
+    earliest = cut(named.groupBy("head", "tail", "n").agg(F.min(where).alias("earliest"), F.count("*").alias("members")).filter("members > 1").drop("members"), "earliest")
     return named.join(earliest, ["head", "tail", "n"]).filter(where > F.col("earliest")).select(*PLACE, "start", "n")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """d, h, start, n: runs of lines to delete; they may overlap."""
     ship(docs.sparkSession)
-    first = cut(_repeated(line_table(docs, min_words)).dropDuplicates([*PLACE, "i"]), "lines")
+    lines = cut(line_table(docs, min_words), "all-lines")
+    first = cut(_repeated(lines).dropDuplicates([*PLACE, "i"]), "lines")
+    drop(lines)
     longest = first.agg(F.greatest(F.max("forward"), F.max("back"))).first()[0] or 0
     classes, size, found = first.select(*PLACE, "i", "name"), 1, None
     while True:
@@ -138,6 +142,7 @@ def delete_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
             columns = list(b.columns[:-1])
             columns[at] = pa.array(kept, columns[at].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int32()), pa.array(removed, pa.int32())], [*b.schema.names[:-1], "__lines", "__removed"])
+        release()
 
     return marked.mapInArrow(run, schema)
 

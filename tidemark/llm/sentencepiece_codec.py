@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import ship, table, texts
+from tidemark.llm.common import release, ship, table, texts
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -278,6 +278,10 @@ class PieceModel:
             self.ids_of, self.surface_of = {}, {}
         return " ".join(ids), "".join(surfaces)
 
+    def forget(self) -> None:
+        """Empties the cache, which outlives no task."""
+        self.ids_of, self.surface_of, self.old_ids, self.old_surfaces = {}, {}, {}, {}
+
     def split(self, text: str) -> list[str]:
         if self.plain:
             if not text:
@@ -388,6 +392,8 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
             if rows:
                 n, ids, decoded = zip(*rows)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        m.forget()
+        release()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, DIGEST_SCHEMA)
 

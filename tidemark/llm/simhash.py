@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, drop, mix, raw_texts, ship, table
+from tidemark.llm.common import cut, drop, mix, raw_texts, release, ship, table
 from tidemark.llm.components import connected_components
 
 BITS = 64
@@ -89,6 +89,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, keys: Sequence[str] = ("doc_
                 columns += [signed[1], pa.array([(x[2] >> np.uint64(33)).astype(np.int32) for x in both], pa.list_(pa.int32()))]  # in the same order
                 columns.append(pa.array([int(np.log(max(x[3], 1)) / np.log(1.25)) for x in both], pa.int32()))
             yield pa.RecordBatch.from_arrays(columns, names)
+        release()
 
     schema = ", ".join([*[f"{k} long" for k in keys], "fp long", *["fp2 long", "sketch array<int>", "bucket int"] * bool(sketch)])
     return docs.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
@@ -214,7 +215,8 @@ def _probes(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
 def _buckets(stored: DataFrame) -> DataFrame:
     """key, n, members: up to SMALL_BUCKET of a bucket's fingerprints, the smallest ones."""
     first = stored.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("other"))).filter(F.col("r") <= SMALL_BUCKET)
-    return stored.groupBy("key").agg(F.count("*").alias("n")).join(first.groupBy("key").agg(F.collect_list("other").alias("members")), "key")
+    counts = cut(stored.groupBy("key").agg(F.count("*").alias("n")), "counts")
+    return counts.join(first.groupBy("key").agg(F.collect_list("other").alias("members")), "key")
 
 
 def _runs(level: int, radius: int) -> list[int]:
@@ -236,7 +238,11 @@ def _centers(stored: DataFrame, hot: DataFrame) -> DataFrame:
     for b in range(BITS):
         bit = F.when(2 * F.col(f"b{b}") > F.col("n"), F.lit(_signed(1 << b)).cast("long")).otherwise(F.lit(0).cast("long"))
         middle = bit if middle is None else middle.bitwiseOR(bit)
-    return rows.join(ones.select("key", middle.alias("middle")), "key").groupBy("key").agg(F.min_by("other", F.struct(F.bit_count(F.col("other").bitwiseXOR(F.col("middle"))), F.col("other"))).alias("center"))
+    ones = cut(ones.select("key", middle.alias("middle")), "middles")
+    far = F.bit_count(F.col("other").bitwiseXOR(F.col("middle")))
+    # by parts of a bucket first, so that the join before it can be split
+    nearest = rows.join(ones, "key").groupBy("key", F.pmod(F.xxhash64("other"), F.lit(32)).alias("part")).agg(F.min(F.struct(far.alias("far"), F.col("other").alias("center"))).alias("m"))
+    return nearest.groupBy("key").agg(F.min("m").alias("m")).select("key", "m.center")
 
 
 def _links_between(stored: DataFrame, probes: DataFrame, radius: int, levels: int = 3) -> list[DataFrame]:

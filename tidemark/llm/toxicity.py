@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship, table, texts
+from tidemark.llm.common import release, ship, table, texts
 
 INSULT, THREAT, MODAL, TARGET, NEGATION, REPORT, OTHER = range(7)
 #: Insults that are known without learning, and the closed classes of the grammar.
@@ -282,6 +282,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5, modulu
                 found = np.array([g.matches(t) for t in texts(b)]).reshape(-1, 2)
                 p = 1 / (1 + np.exp(-np.clip(_inputs(found[:, 0], found[:, 1]) @ w, -30, 30)))
                 yield b.filter(pa.array(p < limit))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
