@@ -322,23 +322,25 @@ def similar_enough(sketches: DataFrame, least: float, size: int) -> Callable[[Da
     return verify
 
 
-def without_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 8, least: float = 0.77, sketch: int = 128) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 8, least: float = 0.7, sketch: int = 64, two: bool = False) -> DataFrame:
     """docs with one row, that of the smallest doc_id, of each component; all columns kept.
 
     Links are fingerprints over `shingle` words that differ in at most radius of 64 bits (a similarity of 0.875 or more at
-    8) and whose sketches agree. Two fingerprints from independent bits each give links, since one alone misses some pairs
+    8) and whose sketches agree. With `two`, fingerprints from independent bits give links too: one alone misses some pairs
     that are similar enough. Rows equal in doc_id and text are one text. Texts without words are one class."""
     ship(docs.sparkSession)
     marked = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     own = cut(fingerprints(marked, shingle, ("doc_id", "__h"), sketch), "fingerprints")
     rooted = own.select("doc_id", "__h", "fp", "fp2")
-    for i, name in enumerate(("fp", "fp2")):
+    for i, name in enumerate(("fp", "fp2") if two else ("fp",)):
         classes = own.groupBy(F.col(name).alias("fp")).agg(F.min_by(F.struct("sketch", "bucket"), F.struct("doc_id", "__h")).alias("s"))
         sketches = cut(classes.select("fp", "s.sketch", "s.bucket"), "sketches")
         roots = cut(link_components(sketches.select("fp", "bucket"), radius, similar_enough(sketches, least, sketch)), "components")
         drop(sketches)
         joined = rooted.join(roots.withColumnRenamed("node", name), name, "left")
         rooted = joined.withColumn(f"root{i}", F.xxhash64(F.lit(i), F.coalesce("root", name))).drop("root")
+    if not two:
+        rooted = rooted.withColumn("root1", F.col("root0"))
     rooted = cut(rooted.select("doc_id", "__h", "root0", "root1"), "rooted")
     # groups that share a text are one
     shared = rooted.select("root0", "root1").distinct()
