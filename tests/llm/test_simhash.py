@@ -110,3 +110,21 @@ def test_one_of_each_group_stays(spark):
 def test_empty_table(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicate_components(d).count() == 0 and S.without_near_duplicates(d).count() == 0
+
+
+def test_nearly_all_pairs_at_the_threshold_are_found(spark):
+    """By brute force over the shingle sets: of pairs just over a Jaccard similarity of 0.8 nearly all lose their later text."""
+    r = random.Random(17)
+    rows = []
+    for i in range(120):
+        words = [f"w{r.randrange(10**6)}" for _ in range(304)]
+        copy = list(words)
+        for at in r.sample(range(5, 300, 6), 6):  # each change replaces five shingles of 300
+            copy[at] = f"x{r.randrange(10**6)}"
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(copy))]
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    alike = [i for i in range(120) if 0.8 <= len(shingles[i] & shingles[1000 + i]) / len(shingles[i] | shingles[1000 + i]) < 0.83]
+    assert len(alike) == 120
+    kept = {x.doc_id for x in S.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept >= set(range(120))
+    assert len([i for i in alike if 1000 + i not in kept]) >= 0.9 * len(alike)

@@ -17,6 +17,7 @@ results. A null doc_id belongs to the component of its fingerprint, whose name i
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -60,38 +61,38 @@ def _ones(h: np.ndarray) -> np.ndarray:
     return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: bytes, shingle: int, sketch: int = 0) -> tuple[int, int, np.ndarray, int]:
-    """The fingerprint and, if a sketch is asked for, a second one from the hashes mixed anew, the `sketch` smallest of these
-    and how many distinct ones there are."""
-    count, again, m, all_ = np.zeros(BITS, np.int64), np.zeros(BITS, np.int64), 0, np.zeros(0, np.uint64)
+def fingerprint(text: bytes, shingle: int, sketch: int = 0, prints: int = 1) -> tuple[list[int], np.ndarray, int]:
+    """`prints` fingerprints, each but the first from the hashes mixed anew, and, if a sketch is asked for, the `sketch`
+    smallest of the hashes mixed once and how many distinct ones there are."""
+    counts, m, all_ = np.zeros((prints, BITS), np.int64), 0, np.zeros(0, np.uint64)
     for h in shingle_hashes(text, shingle):
-        count += _ones(h)
         m += len(h)
+        counts[0] += _ones(h)
         if sketch:
+            all_ = np.unique(np.concatenate([all_, mix(h)]))
+        for i in range(1, prints):
             h = mix(h)
-            again += _ones(h)
-            all_ = np.unique(np.concatenate([all_, h]))
-    first, second = (int.from_bytes(np.packbits(c * 2 > m).tobytes(), "big") for c in (count, again))
-    return first, second, all_[:sketch], len(all_)
+            counts[i] += _ones(h)
+    return [int.from_bytes(np.packbits(c * 2 > m).tobytes(), "big") for c in counts], all_[:sketch], len(all_)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, keys: Sequence[str] = ("doc_id",), sketch: int = 0) -> DataFrame:
-    """The key columns (longs), fp (the fingerprint's bits as a signed long) and, if asked for, fp2, sketch and bucket of each row:
-    texts whose numbers of distinct shingles have a ratio of 0.8 or more are in the same bucket or in neighbouring ones."""
-    names = [*keys, "fp", *["fp2", "sketch", "bucket"] * bool(sketch)]
+def fingerprints(docs: DataFrame, shingle: int = 4, keys: Sequence[str] = ("doc_id",), sketch: int = 0, prints: int = 1) -> DataFrame:
+    """The key columns (longs), fp (the fingerprint's bits as a signed long), further ones from fp2 on and, if asked for, sketch and
+    bucket of each row: texts whose numbers of distinct shingles have a ratio of 0.8 or more are in the same bucket or in neighbouring ones."""
+    fps = ["fp", *[f"fp{i}" for i in range(2, prints + 1)]]
+    names = [*keys, *fps, *["sketch", "bucket"] * bool(sketch)]
 
     def run(batches):
         for b in batches:
-            both = [fingerprint(t, shingle, sketch) for t in raw_texts(b)]
-            signed = [pa.array(np.array([x[i] for x in both], dtype=np.uint64).view(np.int64)) for i in (0, 1)]
-            columns = [*b.columns[:-1], signed[0]]
+            all_ = [fingerprint(t, shingle, sketch, prints) for t in raw_texts(b)]
+            columns = [*b.columns[:-1], *[pa.array(np.array([x[0][i] for x in all_], dtype=np.uint64).view(np.int64)) for i in range(prints)]]
             if sketch:
-                columns += [signed[1], pa.array([(x[2] >> np.uint64(33)).astype(np.int32) for x in both], pa.list_(pa.int32()))]  # in the same order
-                columns.append(pa.array([int(np.log(max(x[3], 1)) / np.log(1.25)) for x in both], pa.int32()))
+                columns.append(pa.array([(x[1] >> np.uint64(33)).astype(np.int32) for x in all_], pa.list_(pa.int32())))  # in the same order
+                columns.append(pa.array([int(np.log(max(x[2], 1)) / np.log(1.25)) for x in all_], pa.int32()))
             yield pa.RecordBatch.from_arrays(columns, names)
         release()
 
-    schema = ", ".join([*[f"{k} long" for k in keys], "fp long", *["fp2 long", "sketch array<int>", "bucket int"] * bool(sketch)])
+    schema = ", ".join([*[f"{k} long" for k in keys], *[f"{f} long" for f in fps], *["sketch array<int>", "bucket int"] * bool(sketch)])
     return docs.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -201,21 +202,23 @@ def _stored(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
 
 
 def _probes(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """key, fp: each fingerprint under all values of each part within its threshold."""
-    out = None
+    """key, fp and any label: each fingerprint under all values of each part within its threshold."""
+    out, more = None, [c for c in ("label",) if c in fps.columns]
     bucket = F.col("bucket") if "bucket" in fps.columns else F.lit(0)
     for i, (bits, t) in enumerate(parts):
         own = F.col("fp").bitwiseAND(_long(_mask(bits)))
         flips = F.array(*[_long(f) for f in _flips(bits, t)])
-        rows = fps.select(F.explode(F.transform(flips, lambda f: F.xxhash64(F.lit(i), own.bitwiseXOR(f), bucket))).alias("key"), "fp")
+        rows = fps.select(F.explode(F.transform(flips, lambda f: F.xxhash64(F.lit(i), own.bitwiseXOR(f), bucket))).alias("key"), "fp", *more)
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def _buckets(stored: DataFrame) -> DataFrame:
-    """key, n, members: up to SMALL_BUCKET of a bucket's fingerprints, the smallest ones."""
+    """key, n, members: up to SMALL_BUCKET of a bucket's fingerprints, the smallest ones; of labelled ones lo and hi too, the
+    least and the greatest label."""
+    labels = [F.min("other_label").alias("lo"), F.max("other_label").alias("hi")] if "other_label" in stored.columns else []
     first = stored.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("other"))).filter(F.col("r") <= SMALL_BUCKET)
-    counts = cut(stored.groupBy("key").agg(F.count("*").alias("n")), "counts")
+    counts = cut(stored.groupBy("key").agg(F.count("*").alias("n"), *labels), "counts")
     return counts.join(first.groupBy("key").agg(F.collect_list("other").alias("members")), "key")
 
 
@@ -266,7 +269,8 @@ def _links_between(stored: DataFrame, probes: DataFrame, radius: int, levels: in
 
 def link_components(fps: DataFrame, radius: int, verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
     """node, root of the graph of distinct fingerprints `fp` linked at `radius` or fewer bits; lone ones aren't listed.
-    verify: takes links (fp, other) and returns those that hold.
+    verify: takes links (fp, other) and returns those that hold. If fps has `label`, fingerprints of one label are joined
+    already: what has only one label isn't paired, and the graph has a node for each label besides.
 
     Probes are compared with up to SMALL_BUCKET members of their bucket, its pivots; that is all there is to most buckets. A
     large bucket's member nearest to its middle is a pivot too. Links to pivots come first, and with them most components;
@@ -279,16 +283,21 @@ def link_components(fps: DataFrame, radius: int, verify: Callable[[DataFrame], D
     buckets = cut(_buckets(stored), "buckets")
     probes = _probes(fps, parts)
     close = lambda m: (m != F.col("fp")) & (F.bit_count(F.col("fp").bitwiseXOR(m)) <= radius)
-    hits = cut(probes.join(buckets, (probes["key"] == buckets["key"]) & ((F.col("n") > SMALL_BUCKET) | F.exists("members", close))).select(probes["key"], "fp", F.filter("members", close).alias("members"), "n"), "hits")
+    known, useful = "label" in fps.columns, F.lit(True)
+    if known:  # a bucket of one label has nothing for a probe of the same label
+        useful = (F.col("lo") < F.col("hi")) | (F.col("lo") != F.col("label"))
+    hits = cut(probes.join(buckets, (probes["key"] == buckets["key"]) & useful & ((F.col("n") > SMALL_BUCKET) | F.exists("members", close))).select(probes["key"], "fp", F.filter("members", close).alias("members"), "n"), "hits")
     hot = buckets.filter(F.col("n") > HOT_BUCKET).select("key")
     pivots = hits.select("fp", F.explode("members").alias("other"))
     if hot.take(1):
         pivots = pivots.unionByName(hits.join(_centers(stored, hot), "key").select("fp", F.col("center").alias("other")).filter((F.col("fp") != F.col("other")) & _near(radius)))
     to_pivots = cut(verify(pivots.distinct()), "links")
     edges = to_pivots
+    if known:
+        edges = edges.unionByName(fps.select("fp", F.xxhash64(F.lit("label"), "label").alias("other")))
     if hits.filter(F.col("n") > SMALL_BUCKET).take(1):
-        first = connected_components(to_pivots.select(F.col("fp").alias("u"), F.col("other").alias("v")))
-        labelled = cut(fps.join(first, fps["fp"] == first["node"], "left").select(*fps.columns, F.coalesce("root", "fp").alias("label")), "labels")
+        first = connected_components(edges.select(F.col("fp").alias("u"), F.col("other").alias("v")))
+        labelled = cut(fps.join(first, fps["fp"] == first["node"], "left").select(*[c for c in fps.columns if c != "label"], F.coalesce("root", "fp").alias("label")), "labels")
         left = hits.filter(F.col("n") > SMALL_BUCKET).select("key", "fp")
         for found in _links_between(_stored(labelled, parts), left.join(labelled.select("fp", "label"), "fp"), radius):
             edges = edges.unionByName(verify(found))
@@ -322,32 +331,36 @@ def similar_enough(sketches: DataFrame, least: float, size: int) -> Callable[[Da
     return verify
 
 
-def without_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 8, least: float = 0.7, sketch: int = 64, two: bool = False) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 9, least: float = 0.7, sketch: int = 64, prints: int = 5) -> DataFrame:
     """docs with one row, that of the smallest doc_id, of each component; all columns kept.
 
-    Links are fingerprints over `shingle` words that differ in at most radius of 64 bits (a similarity of 0.875 or more at
-    8) and whose sketches agree. With `two`, fingerprints from independent bits give links too: one alone misses some pairs
-    that are similar enough. Rows equal in doc_id and text are one text. Texts without words are one class."""
-    ship(docs.sparkSession)
+    Links are fingerprints over `shingle` words that differ in at most radius of 64 bits and whose sketches agree, for any of
+    `prints` fingerprints from independent bits: at a Jaccard similarity of 0.8 about 9.7 bits differ, so that one alone
+    misses many pairs that are similar enough; each finds about 0.49 of them at 9, five 0.96. What earlier fingerprints have
+    joined isn't paired by later ones. Rows of equal text are one text. Texts without words are one class."""
+    spark = docs.sparkSession
+    ship(spark)
     marked = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    own = cut(fingerprints(marked, shingle, ("doc_id", "__h"), sketch), "fingerprints")
-    rooted = own.select("doc_id", "__h", "fp", "fp2")
-    for i, name in enumerate(("fp", "fp2") if two else ("fp",)):
-        classes = own.groupBy(F.col(name).alias("fp")).agg(F.min_by(F.struct("sketch", "bucket"), F.struct("doc_id", "__h")).alias("s"))
-        sketches = cut(classes.select("fp", "s.sketch", "s.bucket"), "sketches")
-        roots = cut(link_components(sketches.select("fp", "bucket"), radius, similar_enough(sketches, least, sketch)), "components")
-        drop(sketches)
-        joined = rooted.join(roots.withColumnRenamed("node", name), name, "left")
-        rooted = joined.withColumn(f"root{i}", F.xxhash64(F.lit(i), F.coalesce("root", name))).drop("root")
-    if not two:
-        rooted = rooted.withColumn("root1", F.col("root0"))
-    rooted = cut(rooted.select("doc_id", "__h", "root0", "root1"), "rooted")
-    # groups that share a text are one
-    shared = rooted.select("root0", "root1").distinct()
-    several = shared.groupBy("root1").count().filter("count > 1").select("root1")
-    joint = connected_components(shared.join(several, "root1", "left_semi").select(F.col("root0").alias("u"), F.col("root1").alias("v")))
-    rooted = rooted.join(joint.withColumnRenamed("node", "root0"), "root0", "left").withColumn("root", F.coalesce("root", "root0")).select("doc_id", "__h", "root")
-    rooted = cut(rooted, "groups")
+    own = cut(fingerprints(marked, shingle, ("doc_id", "__h"), sketch, prints), "fingerprints")
+    names = ["fp", *[f"fp{i}" for i in range(2, prints + 1)]]
+    labels = None  # of each text: the least hash of the texts it is joined with
+    for name in names:
+        texts = own.select("__h", F.col(name).alias("fp"), "sketch", "bucket").dropDuplicates(["__h"])
+        texts = texts.withColumn("label", F.col("__h")) if labels is None else texts.join(labels, "__h")
+        texts = cut(texts, "texts")
+        classes = cut(texts.groupBy("fp").agg(F.min_by(F.struct("sketch", "bucket"), "__h").alias("s"), F.min("label").alias("label")).select("fp", "s.sketch", "s.bucket", "label"), "classes")
+        roots = link_components(classes.select("fp", "bucket", *["label"] * (labels is not None)), radius, similar_enough(classes, least, sketch))
+        rooted = cut(texts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("__h", "label", F.coalesce("root", "fp").alias("root")), "rooted")
+        # groups that share a text are one
+        joint = connected_components(rooted.groupBy("root", "label").agg(F.count("*").alias("n")).join(rooted.groupBy("root").agg(F.min("label").alias("m")), "root").filter("label <> m").select(F.col("label").alias("u"), F.col("m").alias("v")))
+        after = cut(rooted.select("__h", "label").join(joint.withColumnRenamed("node", "label"), "label", "left").select("__h", F.coalesce("root", "label").alias("label")), "labels")
+        for t in (texts, classes, rooted, *[labels] * (labels is not None)):
+            drop(t)
+        labels = after
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # else this fingerprint's shuffle files stay while the next one's are made
+    rooted = cut(own.select("doc_id", "__h").join(labels.withColumnRenamed("label", "root"), "__h"), "groups")
+    drop(own)
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__h")).alias("first"))
     later = rooted.join(first, "root").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("__h") == F.col("first.__h")))).select(F.coalesce("doc_id", F.lit(-1)).alias("__d"), "__h").distinct()
     kept = marked.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).join(later, ["__d", "__h"], "left_anti")
