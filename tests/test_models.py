@@ -139,3 +139,13 @@ def test_sequence_models_learn():
     assert losses[-1] < losses[0]
     finetune(e, x, y, 25)
     assert average_precision(y, e.logits(x).data) > 0.9
+
+
+def test_all_rows_get_a_cluster(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")  # whose series are longer than any prefix once taken
+    from tidemark.plans import catalog
+
+    rows = {r.symbol: r["count"] for r in catalog.modeling_table(spark, sf_dir).groupBy("symbol").count().collect()}
+    assert max(rows.values()) > 150
+    got = catalog.agglomerative_clusters(spark, sf_dir).groupBy("symbol", "id").agg(F.sum("n_rows").alias("n"), F.count("label").alias("k")).collect()
+    assert len(got) == 2 * len(rows) and all(r.n == rows[r.symbol] and r.k == 2 for r in got)
