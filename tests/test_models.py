@@ -149,3 +149,24 @@ def test_all_rows_get_a_cluster(spark, sf_dir):
     assert max(rows.values()) > 150
     got = catalog.agglomerative_clusters(spark, sf_dir).groupBy("symbol", "id").agg(F.sum("n_rows").alias("n"), F.count("label").alias("k")).collect()
     assert len(got) == 2 * len(rows) and all(r.n == rows[r.symbol] and r.k == 2 for r in got)
+
+
+def test_every_feature_is_permuted_in_every_repeat(spark, sf_dir):
+    from tidemark.plans import catalog
+
+    scores = catalog.permuted_scores(spark, sf_dir.replace("sf0.001", "sf0.01"))[1].cache()
+    symbols = scores.select("symbol").distinct().count()
+    assert symbols and scores.count() == symbols * 8 * 30 == scores.select("symbol", "feature", "repeat").distinct().count()
+    assert {r.feature for r in scores.select("feature").distinct().collect()} == set(catalog.X)
+    assert catalog.permutation_importance(spark, sf_dir.replace("sf0.001", "sf0.01")).count() == symbols * 8
+
+
+def test_extra_columns_of_predictions_keep_rows_apart(spark):
+    x = ["a", "b", "c"]
+    d = table(spark)[2].select("symbol", "row", F.col("split").alias("part"), F.expr("int(y > 1)").alias("y"), *x)
+    fitted = grid.fit_models(d, grid.candidates(spark, {"logistic": {"rounds": [50]}}), x)
+    plain = {r.row: r.score for r in grid.predict_models(d, fitted, x).collect()}
+    twice = d.withColumn("a", F.col("a") * 0).withColumn("repeat", F.lit(1)).unionByName(d.withColumn("repeat", F.lit(0)))
+    got = grid.predict_models(twice, fitted, x, ["repeat"]).collect()
+    assert len(got) == 2 * len(plain) and all(r.score == plain[r.row] for r in got if r.repeat == 0)
+    assert any(r.score != plain[r.row] for r in got if r.repeat == 1)

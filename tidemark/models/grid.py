@@ -96,18 +96,21 @@ def fit_models(d: DataFrame, chosen: DataFrame, columns: list[str]) -> DataFrame
     return rows.groupBy("symbol", "id").applyInPandas(run, "symbol string, id string, model string, params string, state binary")
 
 
-def predict_models(d: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:
-    """symbol, id, row, score, label of each fitted model for its symbol's rows."""
+def predict_models(d: DataFrame, fitted: DataFrame, columns: list[str], more: list[str] | None = None) -> DataFrame:
+    """symbol, id, row, score, label of each fitted model for its symbol's rows. more: columns that are kept and, with the
+    symbol and id, say which rows are predicted together."""
     ship(d.sparkSession)
+    more = list(more or [])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         mean, sd, m = pickle.loads(pdf["state"].iloc[0])
         x = (pdf[columns].to_numpy(float) - mean) / sd
         label = m.predict(x).astype(int)
-        return pd.DataFrame({"symbol": pdf["symbol"], "id": pdf["id"], "row": pdf["row"], "score": m.score(x).astype(float) if hasattr(m, "score") else label.astype(float), "label": label})
+        return pd.DataFrame({"symbol": pdf["symbol"], "id": pdf["id"], "row": pdf["row"], "score": m.score(x).astype(float) if hasattr(m, "score") else label.astype(float), "label": label, **{c: pdf[c] for c in more}})
 
-    rows = d.select("symbol", "row", *columns).join(fitted.select("symbol", "id", "state"), "symbol")
-    return rows.groupBy("symbol", "id").applyInPandas(run, "symbol string, id string, row long, score double, label int")
+    rows = d.select("symbol", "row", *columns, *more).join(fitted.select("symbol", "id", "state"), "symbol")
+    kept = "".join(f", {c} {d.schema[c].dataType.simpleString()}" for c in more)
+    return rows.groupBy("symbol", "id", *more).applyInPandas(run, "symbol string, id string, row long, score double, label int" + kept)
 
 
 def write_lock(selection: DataFrame, path: str) -> str:

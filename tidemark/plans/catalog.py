@@ -657,20 +657,21 @@ def walk_forward(spark, sf_dir):
     return metrics.rank_metrics(p.filter("score IS NOT NULL"), ["symbol", "model", "fold"])
 
 
-@query("permutation_importance")
-def permutation_importance(spark, sf_dir):
+def permuted_scores(spark: SparkSession, sf_dir: str, repeats: int = 30) -> tuple[DataFrame, DataFrame]:
+    """Validation scores per symbol, and the same by feature and repeat with that feature's blocks in another order."""
     d = modeling_table(spark, sf_dir)
     fitted = grid.fit_models(d, grid.candidates(spark, {"logistic": {"rounds": [500]}}), X)
     held = d.filter("part = 'validation'")
-    score = lambda rows, keys: metrics.rank_metrics(grid.predict_models(rows, fitted, X).join(held.select("symbol", "row", "y"), ["symbol", "row"]), keys)
-    out = None
-    base = score(held, ["symbol"])
-    for x in ("volatility_5d", "volatility_20d"):
-        shuffled = resample.block_permutation(held, ["symbol"], x, 3)
-        for r in range(3):
-            one = score(shuffled.filter(F.col("repeat") == r).drop("repeat"), ["symbol"]).withColumn("feature", F.lit(x)).withColumn("repeat", F.lit(r))
-            out = one if out is None else out.unionByName(one)
-    return resample.permutation_importance(base, out, ["symbol"], "roc_auc")
+    score = lambda rows, more: metrics.rank_metrics(grid.predict_models(rows, fitted, X, more).join(held.select("symbol", "row", "y"), ["symbol", "row"]), ["symbol", *more])
+    # a row's features move as one, so that there is one plan; then each feature in turn takes its moved value
+    moved = resample.block_permutation(held.withColumn("moved", F.struct(*X)), ["symbol"], "moved", repeats)
+    shuffled = moved.withColumn("feature", F.explode(F.array(*[F.lit(x) for x in X]))).withColumns({x: F.when(F.col("feature") == x, F.col(f"moved.{x}")).otherwise(F.col(x)) for x in X}).drop("moved")
+    return score(held, []), score(shuffled, ["feature", "repeat"])
+
+
+@query("permutation_importance")
+def permutation_importance(spark, sf_dir):
+    return resample.permutation_importance(*permuted_scores(spark, sf_dir), ["symbol"], "roc_auc")
 
 
 @query("kmeans_clusters")
