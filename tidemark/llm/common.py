@@ -19,10 +19,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see. A local one is made only where the session names none, as in tests."""
+    """The folder all executors see, as the session names it. Only a local session, whose one machine is its cluster, gets one
+    where it names none; any other raises, since a folder of the driver's own would be lost to the executors."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-")
+        conf = spark.sparkContext.getConf()
+        found = conf.get("spark.checkpoint.dir")
+        if not found:
+            if not spark.sparkContext.master.partition("[")[0] == "local":
+                raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
+            found = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

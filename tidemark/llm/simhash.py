@@ -17,8 +17,7 @@ results. A null doc_id belongs to the component of its fingerprint, whose name i
 
 from __future__ import annotations
 
-import gc
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, drop, mix, raw_texts, release, ship, table
+from tidemark.llm.common import cut, drop, raw_texts, release, ship, table
 from tidemark.llm.components import connected_components
 
 BITS = 64
@@ -38,6 +37,10 @@ HOT_BUCKET = 256
 SMALL_BUCKET = 8
 #: Parts are planned for this many fingerprints at least: below it any plan is cheap.
 LEAST_PLANNED = 1 << 18
+#: Copies into which a hot bucket that is left after all divisions is dealt.
+SALTS = 16
+#: One byte's bits as the bytes of a word, the highest bit first.
+_LANES = np.array([sum((b >> (7 - k) & 1) << 8 * k for k in range(8)) for b in range(256)], np.uint64)
 
 
 def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
@@ -57,43 +60,32 @@ def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[i:j], 42) for i, j in zip(a[at : at + 65536], b[at : at + 65536])], np.uint64)
 
 
-def _ones(h: np.ndarray) -> np.ndarray:
-    return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the rows of h (rows by words, uint64) have each bit; a word's highest bit comes first."""
+    total = np.zeros(h.shape[1] * BITS, np.int64)
+    for at in range(0, len(h), 255):  # so that a byte holds each count
+        total += _LANES[h[at : at + 255].astype(">u8").view(np.uint8)].sum(axis=0).view(np.uint8)
+    return total
 
 
-def fingerprint(text: bytes, shingle: int, sketch: int = 0, prints: int = 1) -> tuple[list[int], np.ndarray, int]:
-    """`prints` fingerprints, each but the first from the hashes mixed anew, and, if a sketch is asked for, the `sketch`
-    smallest of the hashes mixed once and how many distinct ones there are."""
-    counts, m, all_ = np.zeros((prints, BITS), np.int64), 0, np.zeros(0, np.uint64)
+def fingerprint(text: bytes, shingle: int) -> int:
+    """The text's fingerprint; its first word's highest bit is the highest one."""
+    counts, m = np.zeros(BITS, np.int64), 0
     for h in shingle_hashes(text, shingle):
         m += len(h)
-        counts[0] += _ones(h)
-        if sketch:
-            all_ = np.unique(np.concatenate([all_, mix(h)]))
-        for i in range(1, prints):
-            h = mix(h)
-            counts[i] += _ones(h)
-    return [int.from_bytes(np.packbits(c * 2 > m).tobytes(), "big") for c in counts], all_[:sketch], len(all_)
+        counts += bit_counts(h[:, None])
+    return int.from_bytes(np.packbits(counts * 2 > m).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, keys: Sequence[str] = ("doc_id",), sketch: int = 0, prints: int = 1) -> DataFrame:
-    """The key columns (longs), fp (the fingerprint's bits as a signed long), further ones from fp2 on and, if asked for, sketch and
-    bucket of each row: texts whose numbers of distinct shingles have a ratio of 0.8 or more are in the same bucket or in neighbouring ones."""
-    fps = ["fp", *[f"fp{i}" for i in range(2, prints + 1)]]
-    names = [*keys, *fps, *["sketch", "bucket"] * bool(sketch)]
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """doc_id and fp (the fingerprint's bits as a signed long) of each row."""
 
     def run(batches):
         for b in batches:
-            all_ = [fingerprint(t, shingle, sketch, prints) for t in raw_texts(b)]
-            columns = [*b.columns[:-1], *[pa.array(np.array([x[0][i] for x in all_], dtype=np.uint64).view(np.int64)) for i in range(prints)]]
-            if sketch:
-                columns.append(pa.array([(x[1] >> np.uint64(33)).astype(np.int32) for x in all_], pa.list_(pa.int32())))  # in the same order
-                columns.append(pa.array([int(np.log(max(x[2], 1)) / np.log(1.25)) for x in all_], pa.int32()))
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array([fingerprint(t, shingle) for t in raw_texts(b)], dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
         release()
 
-    schema = ", ".join([*[f"{k} long" for k in keys], *[f"{f} long" for f in fps], *["sketch array<int>", "bucket int"] * bool(sketch)])
-    return docs.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -175,17 +167,17 @@ def plan_parts(n: int, both: np.ndarray, radius: int, most: int = 5) -> list[tup
     return min(options, key=lambda o: o[:2])[2]
 
 
-def _mask(bits: list[int]) -> int:
+def mask(bits: list[int]) -> int:
     return sum(1 << (BITS - 1 - b) for b in bits)
 
 
-def _flips(bits: list[int], most: int) -> list[int]:
+def flips(bits: list[int], most: int) -> list[int]:
     from itertools import combinations
 
-    return [_mask(list(c)) for k in range(most + 1) for c in combinations(bits, k)]
+    return [mask(list(c)) for k in range(most + 1) for c in combinations(bits, k)]
 
 
-def _long(x: int) -> Column:
+def as_long(x: int) -> Column:
     return F.lit(_signed(x)).cast("long")
 
 
@@ -194,42 +186,39 @@ def _near(radius: int) -> Column:
 
 
 def _stored(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """Each fingerprint under its own value of each part, and with `bucket` under the neighbouring buckets' too; other columns
-    stay."""
-    near = [F.col("bucket") + d for d in (-1, 0, 1)] if "bucket" in fps.columns else [F.lit(0)]
-    places = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(_long(_mask(bits))), b) for i, (bits, _) in enumerate(parts) for b in near]
-    return fps.select(F.explode(F.array(*places)).alias("key"), F.col("fp").alias("other"), *[F.col(c).alias(f"other_{c}") for c in fps.columns if c not in ("fp", "bucket")])
+    """Each fingerprint under its own value of each part; other columns stay."""
+    places = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(as_long(mask(bits)))) for i, (bits, _) in enumerate(parts)]
+    return fps.select(F.explode(F.array(*places)).alias("key"), F.col("fp").alias("other"), *[F.col(c).alias(f"other_{c}") for c in fps.columns if c != "fp"])
 
 
 def _probes(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
     """key, fp and any label: each fingerprint under all values of each part within its threshold."""
     out, more = None, [c for c in ("label",) if c in fps.columns]
-    bucket = F.col("bucket") if "bucket" in fps.columns else F.lit(0)
     for i, (bits, t) in enumerate(parts):
-        own = F.col("fp").bitwiseAND(_long(_mask(bits)))
-        flips = F.array(*[_long(f) for f in _flips(bits, t)])
-        rows = fps.select(F.explode(F.transform(flips, lambda f: F.xxhash64(F.lit(i), own.bitwiseXOR(f), bucket))).alias("key"), "fp", *more)
+        own = F.col("fp").bitwiseAND(as_long(mask(bits)))
+        near = F.array(*[as_long(f) for f in flips(bits, t)])
+        rows = fps.select(F.explode(F.transform(near, lambda f: F.xxhash64(F.lit(i), own.bitwiseXOR(f)))).alias("key"), "fp", *more)
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def _buckets(stored: DataFrame) -> DataFrame:
-    """key, n, members: up to SMALL_BUCKET of a bucket's fingerprints, the smallest ones; of labelled ones lo and hi too, the
-    least and the greatest label."""
-    labels = [F.min("other_label").alias("lo"), F.max("other_label").alias("hi")] if "other_label" in stored.columns else []
+    """key, n, members: up to SMALL_BUCKET of a bucket's fingerprints, the smallest ones."""
     first = stored.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("other"))).filter(F.col("r") <= SMALL_BUCKET)
-    counts = cut(stored.groupBy("key").agg(F.count("*").alias("n"), *labels), "counts")
-    return counts.join(first.groupBy("key").agg(F.collect_list("other").alias("members")), "key")
+    counts = cut(stored.groupBy("key").agg(F.count("*").alias("n")), "counts")
+    out = cut(counts.join(first.groupBy("key").agg(F.collect_list("other").alias("members")), "key"), "buckets")
+    drop(counts)
+    return out
 
 
 def _runs(level: int, radius: int) -> list[int]:
     """The 64 bits cut into radius + 1 runs, another way at each level: two linked fingerprints agree in one at least."""
     order = sorted(range(BITS), key=lambda b: (b * (1, 5, 11, 19)[level % 4] + level) % BITS)
-    return [_mask(list(r)) for r in np.array_split(order, radius + 1)]
+    return [mask(list(r)) for r in np.array_split(order, radius + 1)]
 
 
 def _divide(rows: DataFrame, column: str, level: int, radius: int) -> DataFrame:
-    keys = [F.xxhash64(F.col("key"), F.lit(i), F.col(column).bitwiseAND(_long(m))) for i, m in enumerate(_runs(level, radius))]
+    keys = [F.xxhash64(F.col("key"), F.lit(i), F.col(column).bitwiseAND(as_long(m))) for i, m in enumerate(_runs(level, radius))]
     return rows.select(F.explode(F.array(*keys)).alias("key"), *[c for c in rows.columns if c != "key"])
 
 
@@ -248,29 +237,38 @@ def _centers(stored: DataFrame, hot: DataFrame) -> DataFrame:
     return nearest.groupBy("key").agg(F.min("m").alias("m")).select("key", "m.center")
 
 
-def _links_between(stored: DataFrame, probes: DataFrame, radius: int, levels: int = 3) -> list[DataFrame]:
-    """Links of fingerprints whose labels differ. stored: key, other, other_label; probes: key, fp, label."""
-    found = []
+def _links_between(stored: DataFrame, probes: DataFrame, radius: int, levels: int = 3, hot_bucket: int = HOT_BUCKET) -> list[DataFrame]:
+    """Links of fingerprints whose labels differ, as written tables. stored: key, other, other_label; probes: key, fp, label.
+    What is still hot after the last division is dealt out by salt and compared in full."""
+    found, made = [], []
     for level in range(levels + 1):
         spread = cut(stored.groupBy("key").agg(F.min("other_label").alias("lo"), F.max("other_label").alias("hi"), F.count("*").alias("n")), "spread")
+        made.append(spread)
         # a bucket of one label has nothing for a probe of the same label
         probes = probes.join(spread.select("key", "lo", "hi"), "key").filter((F.col("lo") < F.col("hi")) | (F.col("lo") != F.col("label"))).drop("lo", "hi")
-        hot = spread.filter(F.col("n") > HOT_BUCKET).select("key")
-        last = level == levels or not hot.take(1)
-        cool = stored if last else stored.join(hot, "key", "left_anti")
-        pairs = probes.join(cool, (probes["key"] == cool["key"]) & (F.col("label") != F.col("other_label")) & _near(radius)).select("fp", "other")
-        found.append(cut(pairs.distinct(), "links"))
-        if last:
+        hot = spread.filter(F.col("n") > hot_bucket).select("key")
+        is_hot = bool(hot.take(1))
+        cool = stored.join(hot, "key", "left_anti") if is_hot else stored
+        linked = (probes["key"] == cool["key"]) & (F.col("label") != F.col("other_label")) & _near(radius)
+        found.append(cut(probes.join(cool, linked).select("fp", "other").distinct(), "links"))
+        if not is_hot:
             break
-        stored = _divide(stored.join(hot, "key", "left_semi"), "other", level, radius)
-        probes = _divide(probes.join(hot, "key", "left_semi"), "fp", level, radius)
+        stored, probes = stored.join(hot, "key", "left_semi"), probes.join(hot, "key", "left_semi")
+        if level < levels:
+            stored, probes = cut(_divide(stored, "other", level, radius), "divided"), cut(_divide(probes, "fp", level, radius), "divided")
+            made += [stored, probes]
+        else:
+            stored = stored.withColumn("other_salt", F.pmod(F.xxhash64("other"), F.lit(SALTS)).cast("int"))
+            probes = probes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            linked = (probes["key"] == stored["key"]) & (F.col("salt") == F.col("other_salt")) & (F.col("label") != F.col("other_label")) & _near(radius)
+            found.append(cut(probes.join(stored, linked).select("fp", "other").distinct(), "links"))
+    for t in made:
+        drop(t)
     return found
 
 
-def link_components(fps: DataFrame, radius: int, verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+def link_components(fps: DataFrame, radius: int, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """node, root of the graph of distinct fingerprints `fp` linked at `radius` or fewer bits; lone ones aren't listed.
-    verify: takes links (fp, other) and returns those that hold. If fps has `label`, fingerprints of one label are joined
-    already: what has only one label isn't paired, and the graph has a node for each label besides.
 
     Probes are compared with up to SMALL_BUCKET members of their bucket, its pivots; that is all there is to most buckets. A
     large bucket's member nearest to its middle is a pivot too. Links to pivots come first, and with them most components;
@@ -280,91 +278,41 @@ def link_components(fps: DataFrame, radius: int, verify: Callable[[DataFrame], D
     planned = max(n, LEAST_PLANNED)
     parts = plan_parts(planned, both * (planned / max(n, 1)), radius)
     stored = _stored(fps, parts)
-    buckets = cut(_buckets(stored), "buckets")
+    buckets = _buckets(stored)
     probes = _probes(fps, parts)
     close = lambda m: (m != F.col("fp")) & (F.bit_count(F.col("fp").bitwiseXOR(m)) <= radius)
-    known, useful = "label" in fps.columns, F.lit(True)
-    if known:  # a bucket of one label has nothing for a probe of the same label
-        useful = (F.col("lo") < F.col("hi")) | (F.col("lo") != F.col("label"))
-    hits = cut(probes.join(buckets, (probes["key"] == buckets["key"]) & useful & ((F.col("n") > SMALL_BUCKET) | F.exists("members", close))).select(probes["key"], "fp", F.filter("members", close).alias("members"), "n"), "hits")
-    hot = buckets.filter(F.col("n") > HOT_BUCKET).select("key")
+    hits = cut(probes.join(buckets, (probes["key"] == buckets["key"]) & ((F.col("n") > SMALL_BUCKET) | F.exists("members", close))).select(probes["key"], "fp", F.filter("members", close).alias("members"), "n"), "hits")
+    hot = buckets.filter(F.col("n") > hot_bucket).select("key")
     pivots = hits.select("fp", F.explode("members").alias("other"))
     if hot.take(1):
         pivots = pivots.unionByName(hits.join(_centers(stored, hot), "key").select("fp", F.col("center").alias("other")).filter((F.col("fp") != F.col("other")) & _near(radius)))
-    to_pivots = cut(verify(pivots.distinct()), "links")
-    edges = to_pivots
-    if known:
-        edges = edges.unionByName(fps.select("fp", F.xxhash64(F.lit("label"), "label").alias("other")))
+    edges = cut(pivots.distinct(), "links")
+    made = [hits, buckets, edges]
     if hits.filter(F.col("n") > SMALL_BUCKET).take(1):
         first = connected_components(edges.select(F.col("fp").alias("u"), F.col("other").alias("v")))
-        labelled = cut(fps.join(first, fps["fp"] == first["node"], "left").select(*[c for c in fps.columns if c != "label"], F.coalesce("root", "fp").alias("label")), "labels")
+        labelled = cut(fps.join(first, fps["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("label")), "labels")
         left = hits.filter(F.col("n") > SMALL_BUCKET).select("key", "fp")
-        for found in _links_between(_stored(labelled, parts), left.join(labelled.select("fp", "label"), "fp"), radius):
-            edges = edges.unionByName(verify(found))
-    out = connected_components(edges.select(F.col("fp").alias("u"), F.col("other").alias("v")))
-    for t in (hits, buckets):
+        more = _links_between(_stored(labelled, parts), left.join(labelled, "fp"), radius, hot_bucket=hot_bucket)
+        made += [labelled, *more]
+        for found in more:
+            edges = edges.unionByName(found)
+    out = cut(connected_components(edges.select(F.col("fp").alias("u"), F.col("other").alias("v"))), "components")
+    for t in made:
         drop(t)
     return out
 
 
-def near_duplicate_components(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable over links, itself included) of each row."""
+def near_duplicate_components(docs: DataFrame, shingle: int = 4, radius: int = 4, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id reachable over links, itself included) of each row; other columns are ignored."""
     ship(docs.sparkSession)
     own = cut(fingerprints(docs, shingle), "fingerprints")
     classes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = link_components(classes.select("fp"), radius)
+    roots = link_components(classes.select("fp"), radius, hot_bucket)
     named = cut(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
-    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return own.join(named.select("fp", "root").join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-def similar_enough(sketches: DataFrame, least: float, size: int) -> Callable[[DataFrame], DataFrame]:
-    """Keeps the links whose texts' shingle sets have an estimated Jaccard similarity of `least` or more: the share of the
-    smallest `size` hashes of both sketches together that are in both. sketches: fp, sketch."""
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sketches.select("fp", F.col("sketch").alias("a")), "fp").join(sketches.select(F.col("fp").alias("other"), F.col("sketch").alias("b")), "other")
-        first = F.slice(F.array_sort(F.array_union("a", "b")), 1, size)
-        shared = F.size(F.array_intersect(first, F.array_intersect("a", "b")))
-        return both.filter((F.size(first) == 0) | (shared >= least * F.size(first))).select("fp", "other")
-
-    return verify
-
-
-def without_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 9, least: float = 0.7, sketch: int = 64, prints: int = 5) -> DataFrame:
-    """docs with one row, that of the smallest doc_id, of each component; all columns kept.
-
-    Links are fingerprints over `shingle` words that differ in at most radius of 64 bits and whose sketches agree, for any of
-    `prints` fingerprints from independent bits: at a Jaccard similarity of 0.8 about 9.7 bits differ, so that one alone
-    misses many pairs that are similar enough; each finds about 0.49 of them at 9, five 0.96. What earlier fingerprints have
-    joined isn't paired by later ones. Rows of equal text are one text. Texts without words are one class."""
-    spark = docs.sparkSession
-    ship(spark)
-    marked = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    own = cut(fingerprints(marked, shingle, ("doc_id", "__h"), sketch, prints), "fingerprints")
-    names = ["fp", *[f"fp{i}" for i in range(2, prints + 1)]]
-    labels = None  # of each text: the least hash of the texts it is joined with
-    for name in names:
-        texts = own.select("__h", F.col(name).alias("fp"), "sketch", "bucket").dropDuplicates(["__h"])
-        texts = texts.withColumn("label", F.col("__h")) if labels is None else texts.join(labels, "__h")
-        texts = cut(texts, "texts")
-        classes = cut(texts.groupBy("fp").agg(F.min_by(F.struct("sketch", "bucket"), "__h").alias("s"), F.min("label").alias("label")).select("fp", "s.sketch", "s.bucket", "label"), "classes")
-        roots = link_components(classes.select("fp", "bucket", *["label"] * (labels is not None)), radius, similar_enough(classes, least, sketch))
-        rooted = cut(texts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("__h", "label", F.coalesce("root", "fp").alias("root")), "rooted")
-        # groups that share a text are one
-        joint = connected_components(rooted.groupBy("root", "label").agg(F.count("*").alias("n")).join(rooted.groupBy("root").agg(F.min("label").alias("m")), "root").filter("label <> m").select(F.col("label").alias("u"), F.col("m").alias("v")))
-        after = cut(rooted.select("__h", "label").join(joint.withColumnRenamed("node", "label"), "label", "left").select("__h", F.coalesce("root", "label").alias("label")), "labels")
-        for t in (texts, classes, rooted, *[labels] * (labels is not None)):
-            drop(t)
-        labels = after
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # else this fingerprint's shuffle files stay while the next one's are made
-    rooted = cut(own.select("doc_id", "__h").join(labels.withColumnRenamed("label", "root"), "__h"), "groups")
-    drop(own)
-    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__h")).alias("first"))
-    later = rooted.join(first, "root").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("__h") == F.col("first.__h")))).select(F.coalesce("doc_id", F.lit(-1)).alias("__d"), "__h").distinct()
-    kept = marked.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).join(later, ["__d", "__h"], "left_anti")
-    return kept.dropDuplicates(["__d", "__h"]).select(*docs.columns)
+    names = cut(named.groupBy("root").agg(F.min("first").alias("component_id")).join(named.select("fp", "root"), "root").select("fp", "component_id"), "names")
+    for t in (classes, roots, named):
+        drop(t)
+    return own.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
