@@ -17,7 +17,7 @@ from tidemark.llm.common import cut, table
 from tidemark.llm.decontamination import without_leaks
 from tidemark.llm.line_dedup import delete_repeated_runs
 from tidemark.llm.sentencepiece_codec import default_model_path, encode_digests
-from tidemark.llm.simhash import without_near_duplicates
+from tidemark.llm.near_copies import without_near_duplicates
 from tidemark.llm.toxicity import without_toxic
 
 
