@@ -5,12 +5,13 @@ the shingles' hashes. Sets of Jaccard similarity J differ in a bit with the chan
 texts are. The correlated bits of each word are grouped into parts; a part with threshold t finds a pair if its values
 differ in t bits at most. A dynamic program allots the thresholds, unequally and -1 where a part isn't probed, such that
 the estimated number of probes and candidates is least while pairs of similarity `least` are missed with a chance of
-1 - `recall` at most. Candidates are verified twice: over the first two words' 128 bits, and by their shingles: the Jaccard
-similarity is exact where both texts have at most SKETCH distinct shingles, else estimated from the smallest SKETCH ones.
+1 - `recall` at most. Candidates are verified twice: by their fingerprints, of which members of small buckets carry CHECKED words and others all,
+and by their shingles: the Jaccard similarity is exact where both texts have at most SKETCH distinct shingles, else estimated
+from the smallest SKETCH ones. A pair that several parts find is taken from the first of those that lie in the words carried.
 
-A bucket of more than HOT_BUCKET texts isn't paired. Its members are compared with its first ones, its pivots; then what is
-in one group already is left alone, and where members of several groups remain, the bucket is divided by runs of eight
-further bits, again and again. What is still large after the last division is dealt out by salt and compared in full.
+The members of a hot bucket are compared with its first ones, its pivots; what is in one group then isn't paired, only members
+of different groups are. Where a bucket of more than LARGE_BUCKET texts has such members, it is divided by runs of eight
+further bits, and so on. What is still large after the last division is dealt out by salt and compared in full.
 
 Nulls count as empty texts; texts without words are one text, and so are rows of equal text.
 """
@@ -30,7 +31,9 @@ from tidemark.llm.components import connected_components
 from tidemark.llm.simhash import BITS, LEAST_PLANNED, PROBE, as_long, bit_counts, flips, group_bits, mask, shingle_hashes
 
 WORDS, SKETCH = 16, 512
-HOT_BUCKET, PIVOTS, LEVELS, RUNS, SALTS = 64, 8, 3, 12, 16
+CHECKED, DEVIATIONS = 2, 2.0
+#: A bucket is hot if it has more texts than this and than HOT_FACTOR times the mean.
+HOT_BUCKET, HOT_FACTOR, LARGE_BUCKET, PIVOTS, LEVELS, RUNS, SALTS = 16, 8, 8192, 2, 3, 12, 16
 #: Cost of checking one candidate against that of one probe.
 CANDIDATE = 0.05
 #: How far an estimated similarity may lie below the least one.
@@ -138,33 +141,46 @@ def plan(n: int, both: np.ndarray, differ: float, recall: float) -> list[Part]:
 
 
 def limit_of(bits: int, differ: float) -> int:
-    """Bits that a pair may differ in: the mean and two and a half deviations."""
-    return round(bits * differ + 2.5 * (bits * differ * (1 - differ)) ** 0.5)
+    """Bits that a pair may differ in: the mean and DEVIATIONS standard deviations."""
+    return round(bits * differ + DEVIATIONS * (bits * differ * (1 - differ)) ** 0.5)
+
+
+CHECKS = [f"c{i}" for i in range(CHECKED)]
 
 
 def _rows(texts: DataFrame, parts: Sequence[Part], probe: bool) -> DataFrame:
-    """key, id, c0, c1: each text under its value of every part, or under all values within the part's threshold."""
+    """part, key, id, the checked words and label: each text under its value of every part, or under all values within the
+    part's threshold."""
     keys = []
     for i, (word, bits, t) in enumerate(parts):
         own = F.get("w", F.lit(word)).bitwiseAND(as_long(mask(bits)))
-        near = F.array(own) if not t or not probe else F.transform(F.array(*[as_long(f) for f in flips(bits, t)]), lambda f, own=own: own.bitwiseXOR(f))
-        keys.append(F.transform(near, lambda v, i=i: F.xxhash64(F.lit(i), v)))
-    return texts.select(F.explode(F.flatten(F.array(*keys))).alias("key"), "id", F.get("w", F.lit(0)).alias("c0"), F.get("w", F.lit(1)).alias("c1"), F.col("id").alias("label"))
+        near = F.array(own) if not t or not probe else F.transform(F.array(*[as_long(f) for f in flips(bits, t)]), lambda f: own.bitwiseXOR(f))
+        keys.append(F.transform(near, lambda v: F.struct(F.lit(i).alias("part"), F.xxhash64(F.lit(i), v).alias("key"))))
+    rows = texts.select(F.explode(F.flatten(F.array(*keys))).alias("k"), "id", *[F.get("w", F.lit(i)).alias(c) for i, c in enumerate(CHECKS)])
+    return rows.select("k.part", "k.key", "id", *CHECKS, F.col("id").alias("label"))
 
 
-def _divided(rows: DataFrame, texts: DataFrame, level: int) -> DataFrame:
-    """Rows under runs of eight bits of words that this level alone uses."""
-    runs = [(2 + 2 * level + r // 8, mask(list(range(r % 8 * 8, r % 8 * 8 + 8)))) for r in range(RUNS)]
+def _divided(rows: DataFrame, level: int) -> DataFrame:
+    """Rows that carry whole fingerprints, under runs of eight bits of words that this level alone uses."""
+    runs = [(2 * level + r // 8, mask(list(range(r % 8 * 8, r % 8 * 8 + 8)))) for r in range(RUNS)]
     keys = [F.xxhash64(F.col("key"), F.lit(i), F.get("w", F.lit(word)).bitwiseAND(as_long(m))) for i, (word, m) in enumerate(runs)]
-    return rows.join(texts.select("id", "w"), "id").select(F.explode(F.array(*keys)).alias("key"), "id", "c0", "c1", "label")
-
-
-def _paired(probes: DataFrame, stored: DataFrame, limit: int, ordered: bool = True) -> DataFrame:
-    """Candidates a, b of one key whose labels differ and whose first 128 bits agree well enough. ordered: a pair meets twice."""
-    other = stored.select("key", *[F.col(c).alias(f"o_{c}") for c in stored.columns if c != "key"])
-    far = F.bit_count(F.col("c0").bitwiseXOR(F.col("o_c0"))) + F.bit_count(F.col("c1").bitwiseXOR(F.col("o_c1")))
-    first = F.col("id") < F.col("o_id") if ordered else F.col("id") != F.col("o_id")
-    on = (probes["key"] == other["key"]) & first & (F.col("label") != F.col("o_label")) & (far <= limit)
+    return rows.select(F.explode(F.array(*keys)).alias("key"), *[c for c in rows.columns if c != "key"])
+
+
+def _paired(probes: DataFrame, stored: DataFrame, parts: Sequence[Part], differ: float, ordered: bool = True) -> DataFrame:
+    """Candidates a, b of one key whose labels differ and whose fingerprints, as far as the rows carry them, agree well enough,
+    from the first part in the carried words that finds them. ordered: a pair meets twice."""
+    other = stored.select(*[F.col(c).alias(f"o_{c}") for c in stored.columns])
+    if "w" in probes.columns:
+        apart = [F.get("w", F.lit(i)).bitwiseXOR(F.get("o_w", F.lit(i))) for i in range(WORDS)]
+    else:
+        apart = [F.col(c).bitwiseXOR(F.col(f"o_{c}")) for c in CHECKS]
+    far = sum((F.bit_count(d) for d in apart[1:]), F.bit_count(apart[0]))
+    on = (F.col("key") == F.col("o_key")) & (F.col("id") < F.col("o_id") if ordered else F.col("id") != F.col("o_id")) & (F.col("label") != F.col("o_label")) & (far <= limit_of(len(apart) * BITS, differ))
+    if ordered:
+        for i, (word, bits, t) in enumerate(parts):
+            if word < len(apart):
+                on &= ~((F.col("part") > i) & (F.bit_count(apart[word].bitwiseAND(as_long(mask(bits)))) <= t))
     if "salt" in probes.columns:
         on &= F.col("salt") == F.col("o_salt")
     return probes.join(other, on).select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"))
@@ -172,7 +188,7 @@ def _paired(probes: DataFrame, stored: DataFrame, limit: int, ordered: bool = Tr
 
 def similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs whose shingle sets have a Jaccard similarity of `least` or more."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    needed = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
     sketches = cut(texts.select("id", "n", "sketch").join(needed, "id", "left_semi"), "sketches")
     both = pairs.join(sketches.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("y")), "b")
     whole, union = (F.col("an") <= SKETCH) & (F.col("bn") <= SKETCH), F.array_union("x", "y")
@@ -184,49 +200,59 @@ def similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return out
 
 
-def _hot(stored: DataFrame, hot_bucket: int) -> DataFrame:
-    return cut(stored.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter((F.col("n") > hot_bucket) & (F.col("lo") < F.col("hi"))).select("key"), "hot-keys")
+def _keys(stored: DataFrame, more_than: int) -> DataFrame:
+    """Keys with more rows than that, of more than one label."""
+    return cut(stored.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter((F.col("n") > more_than) & (F.col("lo") < F.col("hi"))).select("key"), "keys")
+
 
+def _whole(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows with the whole fingerprint instead of the checked words."""
+    return rows if "w" in rows.columns else rows.drop(*CHECKS).join(texts.select("id", "w"), "id")
 
-def similar_groups(texts: DataFrame, least: float = 0.8, recall: float = 0.95, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+
+def similar_groups(texts: DataFrame, least: float = 0.8, recall: float = 0.95, hot_bucket: int = HOT_BUCKET, large_bucket: int = LARGE_BUCKET) -> DataFrame:
     """id, root (the smallest id of its group) of the texts that are similar to another one, directly or over others.
     texts: id, w, n, sketch of distinct texts, a written table."""
     n, both = word_statistics(texts)
     differ = differing(least)
-    parts, limit = plan(n, both, differ, recall), limit_of(2 * BITS, differ)
+    parts = plan(n, both, differ, recall)
+    hot_bucket = max(hot_bucket, HOT_FACTOR * n >> min(len(bits) for _, bits, _ in parts))
     stored, probes = _rows(texts, parts, False), _rows(texts, parts, True)
     edges, made = [], []
+
+    def add(*pairs: DataFrame) -> None:
+        all_ = pairs[0]
+        for p in pairs[1:]:
+            all_ = all_.unionByName(p)
+        found = cut(all_.distinct(), "pairs")
+        edges.append(similar(found, texts, least))
+        drop(found)
+
     for level in range(LEVELS + 1):
-        hot = _hot(stored, hot_bucket)
+        hot = _keys(stored, hot_bucket)
         made.append(hot)
-        is_hot = bool(hot.take(1))
-        cool = stored.join(hot, "key", "left_anti") if is_hot else stored
-        found = [cut(_paired(probes, cool, limit).distinct(), "pairs")]
-        if is_hot:
-            members = cut(stored.join(hot, "key", "left_semi"), "hot-members")
-            asking = cut(probes.join(hot, "key", "left_semi"), "hot-probes")
-            pivots = members.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("r") <= PIVOTS).drop("r")
-            found.append(cut(_paired(asking, pivots, limit, ordered=False).distinct(), "pairs"))
-            made += [members, asking]
-        pairs = found[0] if len(found) == 1 else found[0].unionByName(found[1]).distinct()
-        edges.append(similar(pairs, texts, least))
-        for t in found:
-            drop(t)
-        if not is_hot:
+        if not hot.take(1):
+            add(_paired(probes, stored, parts, differ))
+            break
+        members, asking = (cut(_whole(x.join(hot, "key", "left_semi"), texts), "hot-rows") for x in (stored, probes))
+        pivots = members.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("r") <= PIVOTS).drop("r")
+        add(_paired(probes, stored.join(hot, "key", "left_anti"), parts, differ), _paired(asking, pivots, parts, differ, ordered=False))
+        labels = cut(_groups(edges).withColumnRenamed("root", "label"), "labels")
+        named = [cut(x.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled") for x in (members, asking)]
+        several, large = _keys(named[0], 1), _keys(named[0], large_bucket)
+        made += [members, asking, labels, *named, several, large]
+        members, asking = (x.join(several, "key", "left_semi") for x in named)
+        if not large.take(1):
+            add(_paired(asking, members, parts, differ))
             break
-        labels = _groups(edges)
-        named = lambda rows: cut(rows.drop("label").join(labels.withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
-        members, asking = named(members), named(asking)
-        several = _hot(members, 1)  # buckets with more than one group
-        made += [members, asking, several, labels]
-        members, asking = members.join(several, "key", "left_semi"), asking.join(several, "key", "left_semi")
+        add(_paired(asking.join(large, "key", "left_anti"), members, parts, differ))
+        members, asking = members.join(large, "key", "left_semi"), asking.join(large, "key", "left_semi")
         if level < LEVELS:
-            stored, probes = (cut(_divided(x, texts, level), "divided") for x in (members, asking))
+            stored, probes = (cut(_divided(x, level), "divided") for x in (members, asking))
             made += [stored, probes]
         else:
             salted = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-            dealt = asking.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            edges.append(similar(cut(_paired(dealt, salted, limit).distinct(), "pairs"), texts, least))
+            add(_paired(asking.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), salted, parts, differ))
     out = cut(_groups(edges), "similar-groups")
     for t in [*made, *edges]:
         drop(t)
@@ -246,7 +272,7 @@ def _hash(text: Column) -> Column:
     return F.unhex(F.md5(F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise(F.lit(""))))
 
 
-def without_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, recall: float = 0.95, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, recall: float = 0.95, hot_bucket: int = HOT_BUCKET, large_bucket: int = LARGE_BUCKET) -> DataFrame:
     """docs with one row, that of the smallest doc_id, of each group of near copies; all columns kept.
 
     Two texts are linked if their sets of `shingle`-word shingles (A-Z lower-cased; shorter texts are one shingle) have a
@@ -260,7 +286,7 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.
     marked = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__h": _hash(text)})
     own = cut(wide_prints(marked.select(F.col("__d").alias("doc_id"), F.col("__h").alias("h"), text.alias("text")), shingle), "prints")
     texts = cut(own.select("h", "w", "n", "sketch").dropDuplicates(["h"]).withColumn("id", F.monotonically_increasing_id()), "texts")
-    groups = similar_groups(texts, least, recall, hot_bucket)
+    groups = similar_groups(texts, least, recall, hot_bucket, large_bucket)
     roots = texts.select("h", "id").join(groups, "id", "left").select("h", F.coalesce("root", "id").alias("root"))
     rooted = cut(own.select("doc_id", "h").join(roots, "h"), "rooted")
     first = cut(rooted.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("first.doc_id", "first.h"), "first")
