@@ -1,43 +1,53 @@
-"""Operator 5: language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
+"""Operator 5: language-model scores from log-frequency Bloom filters of quantised n-gram counts.
 
-Counting. Tasks count the training documents' tokens and send partial counts by token; the totals N and V and, for the
-base score, every token's exact count come from that table. The most frequent tokens (at most `head`, a bound on what is
-sent to all executors) are kept with exact counts; the first `CONTEXTS` of them are the bigram model's closed vocabulary,
-so there are at most CONTEXTS squared bigrams.
+Counting. Tasks count the training documents' tokens and send partial counts by token; the totals N and V and, for the base
+score, every token's exact count come from that table. The most frequent tokens (at most `head`, a bound on what is sent to all
+executors) are known everywhere with exact counts. All other tokens and all bigrams are counted too, whatever their number.
 
-Filters. A count c is quantised to q = 1 + floor(log2 c). A filter holds (n-gram, 1), ..., (n-gram, q); a count is read
-back by probing with 1, 2, ... until one is missing, and stands for the mean count of its q, so that the probabilities
-still add up. There is one filter for the other tokens and one for the bigrams, each of at most `FILTER_BITS` bits. Where
-all n-grams would need more than that at `BITS_PER_ENTRY`, those with the smallest q are left to the smoothing.
+Filters. A count c is quantised to q = 1 + floor(log2 c), and stands for REP(q), the mean of the counts that have that q. A
+filter holds (n-gram, 1), ..., (n-gram, q); a count is read back by probing with 1, 2, ... until one is missing. The n-grams
+are dealt by hash into shards of about `shard_tokens` training tokens, one filter each, as large as its entries need; a
+bigram goes by its context, and a context with more tokens than that over several shards. So no filter grows with the corpus,
+only their number does, and none is sent to all executors: texts are scored in chunks of about `chunk_tokens` tokens, each of
+which asks every shard at once for the n-grams it needs. Requests and answers are arrays, one row for each chunk and shard.
 
-Probabilities. P1(w) = (c(w) + 1) / (N + V + 1). After a context v of the closed vocabulary,
-P(w|v) = a(v) max(c(vw) - D, 0) / c(v) + g(v) P1(w), where g(v) is what the first terms leave. The end is a token, and the
-context of a text's first token. `score` is the sum of log10 P over a text's tokens and its end.
+Probabilities. P1(w) = (c(w) + 1) / (N' + V + 1) with N' the sum of the counts as they are read. After a context v,
+P(w|v) = max(c(vw) - D, 0) / W(v) + D T(v) / W(v) P1(w), where T(v) is the number of tokens seen after v and W(v) the sum of
+their counts as they are read: both are kept exactly beside the filter, so that the probabilities add up. After an unseen
+context P(w|v) = P1(w). The end is a token, and the context of a text's first token. `score` is the sum of log10 P over a
+text's tokens and its end.
 
 The base score needs the exact counts of all tokens: those of the head are at hand, the others (each text's distinct ones
 with their frequencies) meet the count table in a join, whose keys are rare tokens by construction.
 
-Nulls count as empty texts, a null doc_id as training. Repeated rows are all counted and all scored. If there is nothing to
+Nulls count as empty texts, a null doc_id as training; other columns are ignored. Repeated rows are all counted and all scored.
+Equally frequent tokens are in the head together or not at all. An empty table gives an empty result; if there is nothing to
 learn from, N and V are 0 and every probability is 1.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, drop, mix, raw_texts, ship, table
 
-CONTEXTS, DISCOUNT = 4096, 0.5
-FILTER_BITS, BITS_PER_ENTRY, PROBES, BLOCKS = 1 << 27, 10, 4, 1024
+DISCOUNT = 0.5
+#: 24 bits an entry and 12 probes: an absent n-gram is taken for a present one about once in 70,000 times.
+BITS_PER_ENTRY, PROBES = 24, 12
+SHARD_TOKENS, CHUNK_TOKENS = 1 << 20, 1 << 18
 END = b" "  # no token has white space
+#: Salts of the hashes that place a context, spread a frequent one, name a context and name a single token.
+PLACE, SPREAD, CONTEXT, SINGLE = (np.uint64(x) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25))
+#: What single tokens have in place of a context's name.
+NO_CONTEXT = 0xFFFFFFFF
 
 
 def held_out(key, modulus: int, remainder: int):
@@ -50,66 +60,54 @@ def tokens(text: bytes) -> list[bytes]:
     return out
 
 
-class CountFilter:
-    """Quantised counts behind a Bloom filter of blocks; a key's bits of all quanta lie in one block."""
+def rep(q):
+    """The count that a quantum stands for: 1, 2.5, 5.5, ...; 0 for 0."""
+    return np.where(np.asarray(q) > 1, 1.5 * 2.0 ** (np.asarray(q) - 1.0) - 0.5, np.asarray(q, float))
 
-    def __init__(self, entries: int):
-        per_block = min(FILTER_BITS, max(64 * BLOCKS, entries * BITS_PER_ENTRY)) // BLOCKS // 64 * 64
-        self.bits, self.words = per_block, None
 
-    @staticmethod
-    def block(keys: np.ndarray) -> np.ndarray:
-        return mix(keys ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - 10)
+def quanta_of(counts: np.ndarray) -> np.ndarray:
+    return np.frexp(counts.astype(float))[1]  # 1 + floor(log2 c)
 
-    def places(self, keys: np.ndarray, level: int) -> np.ndarray:
-        """Bit places, from the beginning of all blocks, of keys at a quantum."""
-        with np.errstate(over="ignore"):
-            a = mix(keys + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-            b = (a >> np.uint64(32)) | np.uint64(1)
-            base = self.block(keys) * np.uint64(self.bits)
-            return np.stack([base + (((a & np.uint64(0xFFFFFFFF)) + np.uint64(k) * b) & np.uint64(0xFFFFFFFF)) % np.uint64(self.bits) for k in range(PROBES)])
 
-    def has(self, keys: np.ndarray, level: int) -> np.ndarray:
-        at = self.places(keys, level)
-        return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).all(axis=0)
+def _low(x: np.ndarray) -> np.ndarray:
+    """The lower half of hashes; the name that stands for none is kept free."""
+    return np.minimum(x & np.uint64(0xFFFFFFFF), np.uint64(NO_CONTEXT - 1)).astype(np.uint32)
+
+
+class CountFilter:
+    """Quantised counts of 32-bit keys behind a Bloom filter as large as its entries need."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
 
-    def quanta(self, keys: np.ndarray, least: int = 1) -> np.ndarray:
+    @staticmethod
+    def places(keys: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            a = mix(keys.astype(np.uint64) + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            return ((a & np.uint64(0xFFFFFFFF)) + np.uint64(probe) * ((a >> np.uint64(32)) | np.uint64(1))) % np.uint64(bits)
+
+    @classmethod
+    def build(cls, keys: np.ndarray, q: np.ndarray) -> CountFilter:
+        words = np.zeros(max(1, -(-int(q.sum()) * BITS_PER_ENTRY // 64)), np.uint64)
+        bits = np.zeros(len(words) * 64, bool)
+        for level in range(1, int(q.max(initial=0)) + 1):
+            held = keys[q >= level]
+            for probe in range(PROBES):
+                bits[cls.places(held, level, probe, len(bits))] = True
+        return cls(np.packbits(bits, bitorder="little").view(np.uint64))
+
+    def quanta(self, keys: np.ndarray) -> np.ndarray:
         """The quantised count of each key: 0 if it isn't held, else found by one probe after another."""
-        out = np.zeros(len(keys), np.int64)
-        open_, level = np.arange(len(keys)), least
-        while len(open_):
-            open_ = open_[self.has(keys[open_], level)]
-            out[open_] = level
+        out, bits, level = np.zeros(len(keys), np.uint8), len(self.words) * 64, 0
+        at = np.arange(len(keys))
+        while len(at):
             level += 1
+            for probe in range(PROBES):
+                place = self.places(keys[at], level, probe, bits)
+                at = at[(self.words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)]
+            out[at] = level
         return out
 
-    def build(self, entries: DataFrame, least: int) -> None:
-        """entries: `key` (long) and `q`. Each task makes whole blocks; they meet on the driver, FILTER_BITS at most."""
-        bits = self.bits
-
-        def run(batches):
-            words = np.zeros(BLOCKS * bits // 64, np.uint64)
-            for b in batches:
-                keys, q = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-                for level in range(least, int(q.max(initial=0)) + 1):
-                    at = self.places(keys[q >= level], level).ravel()
-                    np.bitwise_or.at(words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
-            rows = words.reshape(BLOCKS, -1)
-            used = np.flatnonzero(rows.any(axis=1))
-            for i in used:
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([rows[i].tobytes()], pa.binary())], ["block", "words"])
-
-        def blocked(batches):
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(self.block(b.column(0).to_numpy().view(np.uint64)).astype(np.int32))], ["key", "q", "block"])
-
-        kept = entries.filter(F.col("q") >= least).select(F.col("key").cast("long"), F.col("q").cast("int"))
-        made = kept.mapInArrow(blocked, "key long, q int, block int").repartition("block").select("key", "q").mapInArrow(run, "block int, words binary").toArrow()
-        self.words = np.zeros(BLOCKS * bits // 64, np.uint64)
-        rows = self.words.reshape(BLOCKS, -1)
-        for i, data in zip(made["block"].to_pylist(), made["words"].to_pylist()):
-            rows[i] |= np.frombuffer(data, np.uint64)
-
 
 def count_tokens(docs: DataFrame, flush: int = 400_000) -> DataFrame:
     """token, c over all rows of docs."""
@@ -134,15 +132,20 @@ def count_tokens(docs: DataFrame, flush: int = 400_000) -> DataFrame:
 
 
 class Head:
-    """The most frequent tokens: their numbers, in the order of their counts, and exact counts."""
+    """The most frequent tokens: their numbers, in the order of their counts, exact counts, and over how many shards each one's
+    bigrams are dealt."""
 
     def __init__(self, names: list[bytes], counts: np.ndarray):
         self.ids = {t: i for i, t in enumerate(names)}
         self.counts = counts
+        self.fans = np.ones(len(counts), np.int64)
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
 
+    def deal(self, shard_tokens: int) -> None:
+        self.fans = np.maximum(1, -(-self.counts // shard_tokens)).astype(np.int64)
+
 
 def _bucket(c):
     return F.floor(F.log(1.1, c))
@@ -162,173 +165,251 @@ def take_head(counts: DataFrame, most: int) -> tuple[Head, int]:
     return Head([names[i] for i in order], c[order] if order else np.zeros(0, np.int64)), least
 
 
-def count_bigrams(docs: DataFrame, head, flush: int = 2_000_000) -> DataFrame:
-    """key (context times CONTEXTS plus token), c of the pairs within the closed vocabulary."""
+class Grams:
+    """The distinct n-grams of some texts (lists of tokens): where each is held, under which name, and which token has which."""
+
+    def __init__(self, texts: list[list[bytes]], head: Head, shards: int):
+        self.words = [w for t in texts for w in t]
+        self.starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        self.distinct = list(dict.fromkeys(self.words))
+        number = dict(zip(self.distinct, range(len(self.distinct))))
+        code = np.fromiter(map(number.__getitem__, self.words), np.int64, len(self.words))
+        before = np.concatenate([code[-1:], code[:-1]])
+        before[self.starts[:-1]] = number.get(END, 0)
+        self.code, self.before = code, before
+        h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in self.distinct), np.uint64, len(self.distinct))
+        self.ids = head.of(self.distinct)
+        n = max(1, len(self.distinct))
+        pairs, self.pair_of = np.unique(before * n + code, return_inverse=True)
+        v, w = pairs // n, pairs % n
+        home = (mix(h ^ PLACE) % np.uint64(shards)).astype(np.int64)
+        fan = np.where(self.ids >= 0, head.fans[np.maximum(self.ids, 0)] if len(head.fans) else 1, 1)
+        self.hot = fan > 1
+        with np.errstate(over="ignore"):
+            self.pair_keys = _low(mix(mix(h[v]) + h[w] * np.uint64(0x9E3779B97F4A7C15)))
+        self.pair_homes = (home[v] + (mix(h[w] ^ SPREAD) % fan[v].astype(np.uint64)).astype(np.int64)) % shards
+        self.names, self.homes = _low(mix(h ^ CONTEXT)), home
+        self.pair_names = self.names[v]
+        self.tail = np.flatnonzero(self.ids < 0)
+        self.single_keys = _low(mix(h ^ SINGLE))
+        self.contexts = np.flatnonzero(~self.hot & np.isin(np.arange(len(self.distinct)), v))
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Shard and key of all bigrams, then of all tokens outside the head."""
+        return np.concatenate([self.pair_homes, self.homes[self.tail]]), np.concatenate([self.pair_keys, self.single_keys[self.tail]])
+
+
+def _by_shard(homes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order by shard, and each shard's part of it."""
+    order = np.argsort(homes, kind="stable")
+    found, at = np.unique(homes[order], return_index=True)
+    ends = [*at[1:].tolist(), len(order)]
+    return order, [(s, slice(a, b)) for s, a, b in zip(found.tolist(), at.tolist(), ends)]
+
+
+def _gathered(batches, most: int) -> Iterator[list[list[bytes]]]:
+    """Token lists of about `most` tokens at a time."""
+    held, size = [], 0
+    for b in batches:
+        for t in raw_texts(b):
+            held.append(tokens(t))
+            size += len(held[-1])
+            if size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def count_grams(docs: DataFrame, head, shards: int, flush: int = 1_000_000) -> DataFrame:
+    """Partial counts: shard, and as arrays of 32 bits the keys, the names of their contexts, and the counts."""
 
     def run(batches):
-        parts: list[np.ndarray] = []
-        size = 0
+        for texts in _gathered(batches, flush):
+            g = Grams(texts, head.value, shards)
+            homes, keys = g.keys()
+            names = np.concatenate([g.pair_names, np.full(len(g.tail), NO_CONTEXT, np.uint32)])
+            n = np.concatenate([np.bincount(g.pair_of, minlength=len(g.pair_keys)), np.bincount(g.code, minlength=len(g.distinct))[g.tail]]).astype(np.uint32)
+            order, parts = _by_shard(homes)
+            keys, names, n = keys[order], names[order], n[order]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int32()), *[pa.array([x[at].tobytes() for _, at in parts], pa.binary()) for x in (keys, names, n)]], ["shard", "keys", "names", "n"])
 
-        def out():
-            keys, n = np.unique(np.concatenate(parts), return_counts=True)
-            parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+    return docs.select("text").mapInArrow(run, "shard int, keys binary, names binary, n binary")
 
-        h: Head = head.value
-        end = h.ids.get(END, -1)
-        for b in batches:
-            for t in raw_texts(b):
-                ids = h.of(tokens(t))
-                before = np.concatenate([[end], ids[:-1]])
-                fit = (ids >= 0) & (ids < CONTEXTS) & (before >= 0) & (before < CONTEXTS)
-                parts.append(before[fit] * CONTEXTS + ids[fit])
-                size += len(parts[-1])
-                if size > flush:
-                    yield out()
-                    size = 0
-        if parts:
-            yield out()
 
-    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
+def _array(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _quantum(c):
-    return (F.length(F.bin(c))).cast("int")  # 1 + floor(log2 c)
+SHARD_SCHEMA = "shard int, words binary, names binary, weights binary, types binary, hot array<int>, hot_weights array<double>, hot_types array<long>"
 
 
-def _levels(counted: DataFrame) -> tuple[dict[int, float], int, int]:
-    """Mean count of each quantum, the least quantum that the filter's bound admits, and its number of entries."""
-    rows = counted.groupBy(_quantum(F.col("c")).alias("q")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()
-    size = {r.q: r.n for r in rows}
-    least, most = 1, FILTER_BITS // BITS_PER_ENTRY
-    entries = lambda k: sum(n * (q - k + 1) for q, n in size.items() if q >= k)
-    while entries(least) > most:
-        least += 1
-    return {r.q: r.c / r.n for r in rows}, least, entries(least)
+def build_shards(partial: DataFrame, hot_names) -> DataFrame:
+    """One row for each shard: its filter; its contexts' names, sorted, with W and T; and its part of both for contexts that are
+    dealt over several shards, whose names hot_names holds, sorted."""
 
+    def run(t: pa.Table) -> pa.Table:
+        hot = hot_names.value
+        all_keys, n = _array(t["keys"], np.uint32), _array(t["n"], np.uint32)
+        keys, at = np.unique(all_keys, return_index=True)
+        counts = np.bincount(np.searchsorted(keys, all_keys), weights=n, minlength=len(keys))
+        names = _array(t["names"], np.uint32)[at]
+        q = quanta_of(counts)
+        own = names != NO_CONTEXT
+        contexts, of = np.unique(names[own], return_inverse=True)
+        weights, types = np.bincount(of, weights=rep(q[own]), minlength=len(contexts)), np.bincount(of, minlength=len(contexts))
+        is_hot = np.isin(contexts, hot)
+        numbers = np.searchsorted(hot, contexts[is_hot])
+        f = CountFilter.build(keys, q)
+        row = ([t["shard"][0].as_py()], [f.words.tobytes()], [contexts.astype(np.uint32).tobytes()], [weights.tobytes()], [types.astype(np.uint32).tobytes()], [numbers.tolist()], [weights[is_hot].tolist()], [types[is_hot].tolist()])
+        kinds = (pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int64()))
+        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=[x.split()[0] for x in SHARD_SCHEMA.split(", ")])
 
-def _table_of(means: dict[int, float], least: int) -> np.ndarray:
-    """Count that each quantum read from a filter stands for; those beyond the largest one, which only chance gives, as it."""
-    out, last = np.zeros(72), 0.0
-    for q in range(1, 72):
-        last = means.get(q, last)
-        out[q] = last if q >= least else 0.0
-    return out
+    return partial.groupBy("shard").applyInArrow(run, SHARD_SCHEMA)
 
 
 class Model:
-    """All that a scoring task needs; its size is bounded by HEAD, CONTEXTS and FILTER_BITS."""
-
-    def __init__(self, head, n, v, tail, tail_least, tail_mean, pairs, pair_least, pair_mean, scale, rest):
-        self.head, self.n, self.v = head, n, v
-        self.tail, self.tail_least, self.tail_mean = tail, tail_least, tail_mean
-        self.pairs, self.pair_least, self.pair_mean = pairs, pair_least, pair_mean
-        self.scale, self.rest = scale, rest
-        self.end = head.ids.get(END, -1)
-        self.probed = None
-
-    def pair_quanta(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts of bigrams. What was probed once is kept: one byte for each of the CONTEXTS squared bigrams."""
-        if self.probed is None:
-            self.probed = np.full(CONTEXTS * CONTEXTS, 255, np.uint8)
-        q = self.probed[keys]
-        new = np.unique(keys[q == 255])
-        if len(new):
-            self.probed[new] = np.minimum(self.pairs.quanta(new.astype(np.uint64), self.pair_least), 71)
-            q = self.probed[keys]
-        return q
-
-    def score(self, texts: list[list[bytes]]) -> list[tuple[int, int, float, float, Counter]]:
-        """For each text's tokens (one at least): their number, known head tokens, these ones' part of the base score,
-        log10 probability, and the other tokens."""
-        words = [w for t in texts for w in t]
-        starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        ids = self.head.of(words)
-        inside = ids >= 0
-        c = np.zeros(len(words))
-        c[inside] = self.head.counts[ids[inside]]
-        base = np.where(inside, np.log10(c + 1), 0.0)
-        outside = np.flatnonzero(~inside)
-        others = [words[i] for i in outside]
-        if others:
-            distinct = list(dict.fromkeys(others))
-            h = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in distinct), np.uint64, len(distinct))
-            mean = dict(zip(distinct, self.tail_mean[np.minimum(self.tail.quanta(h, self.tail_least), 71)].tolist()))
-            c[outside] = [mean[w] for w in others]
-        p = (c + 1) / (self.n + self.v + 1)
-        before = np.concatenate([[self.end], ids[:-1]])
-        before[starts[:-1]] = self.end
-        known = (before >= 0) & (before < CONTEXTS)
-        p[known] *= self.rest[before[known]]
-        both = known & (ids >= 0) & (ids < CONTEXTS)
-        b = before[both]
-        p[both] += self.scale[b] * np.maximum(self.pair_mean[self.pair_quanta(b * CONTEXTS + ids[both])] - DISCOUNT, 0) / self.head.counts[b]
-        at = starts[:-1]
-        cuts = np.searchsorted(outside, starts)
-        return list(zip(np.diff(starts).tolist(), np.add.reduceat(inside.astype(np.int64), at).tolist(), np.add.reduceat(base, at).tolist(), np.add.reduceat(np.log10(p), at).tolist(), (Counter(others[i:j]) for i, j in zip(cuts, cuts[1:]))))
-
-
-def train(docs: DataFrame, head_size: int) -> tuple[DataFrame, Model, int]:
-    """The table of token counts, the model, and the bucket of counts at which its head begins. docs: the training rows."""
+    """What scoring needs everywhere: the head, the totals, and W and T of the contexts that lie in several shards, all bounded.
+    The rest is in `shards`, a table."""
+
+    def __init__(self, head: Head, n: int, v: int, read: float, shard_count: int, hot_names: np.ndarray, hot_weights: np.ndarray, hot_types: np.ndarray):
+        self.head, self.n, self.v, self.read, self.shard_count = head, n, v, read, shard_count
+        self.hot_names, self.hot_weights, self.hot_types = hot_names, hot_weights, hot_types
+
+
+def train(docs: DataFrame, head_size: int = 1 << 18, shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, Model, int, DataFrame]:
+    """The table of token counts, the model, the bucket of counts at which its head begins, and the shards. docs: the training rows."""
     sc = docs.sparkSession.sparkContext
     counts = cut(count_tokens(docs), "token-counts")
     n, v = counts.agg(F.sum("c"), F.count("*")).first()
     head, least = take_head(counts, head_size)
-    shared = sc.broadcast(head)
-    tail_counts = counts.filter(_bucket(F.col("c")) < least)
-    tail_mean, tail_least, entries = _levels(tail_counts)
-    tail = CountFilter(entries)
-    tail.build(tail_counts.select(F.xxhash64("token").alias("key"), _quantum(F.col("c")).alias("q")), tail_least)
-    pairs_counted = cut(count_bigrams(docs, shared), "bigram-counts")
-    pair_mean, pair_least, entries = _levels(pairs_counted)
-    pairs = CountFilter(entries)
-    pairs.build(pairs_counted.select("key", _quantum(F.col("c")).alias("q")), pair_least)
-    pair_table = _table_of(pair_mean, pair_least)
-    seen = np.zeros(CONTEXTS)
-    mass = F.element_at(F.array(*[F.lit(float(max(x - DISCOUNT, 0))) for x in pair_table[1:]]), _quantum(F.col("c")))
-    for r in pairs_counted.groupBy(F.shiftrightunsigned("key", 12).alias("v")).agg(F.sum(mass).alias("s")).collect():
-        seen[r.v] = r.s
-    drop(pairs_counted)
-    contexts = np.zeros(CONTEXTS)
-    contexts[: min(CONTEXTS, len(head.counts))] = head.counts[:CONTEXTS]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        scale = np.where(seen > 0.98 * contexts, 0.98 * contexts / seen, 1.0)
-        rest = np.where(contexts > 0, 1 - scale * seen / contexts, 1.0)
-    model = Model(head, n or 0, v, tail, tail_least, _table_of(tail_mean, tail_least), pairs, pair_least, pair_table, scale, rest)
-    return counts, model, least
+    q = F.length(F.bin("c"))
+    tail = counts.filter(_bucket(F.col("c")) < least).agg(F.sum(F.when(q > 1, F.lit(1.5) * F.pow(F.lit(2.0), q - 1) - 0.5).otherwise(F.lit(1.0)))).first()[0]
+    shard_tokens = max(shard_tokens, (n or 0) >> 18)  # so that no more contexts are dealt over several shards than the head may have
+    shard_count = max(1, -(-(n or 0) // shard_tokens))
+    head.deal(shard_tokens)
+    hot = [t for t, i in head.ids.items() if head.fans[i] > 1]
+    h = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in hot), np.uint64, len(hot))
+    hot_names = np.unique(_low(mix(h ^ CONTEXT)))
+    shared, names = sc.broadcast(head), sc.broadcast(hot_names)
+    shards = cut(build_shards(count_grams(docs, shared, shard_count), names), "gram-shards")
+    weights, types = np.zeros(len(hot_names)), np.zeros(len(hot_names))
+    if len(hot_names):
+        parts = shards.select(F.explode(F.arrays_zip("hot", "hot_weights", "hot_types")).alias("x")).groupBy("x.hot").agg(F.sum("x.hot_weights").alias("w"), F.sum("x.hot_types").alias("t"))
+        for r in parts.collect():  # at most as many as there are shards
+            weights[r.hot], types[r.hot] = r.w, r.t
+    read = float(head.counts.sum()) + float(tail or 0.0)
+    return counts, Model(head, n or 0, v, read, shard_count, hot_names, weights, types), least, shards
+
+
+REQUESTS = "chunk long, shard int, keys binary, names binary"
+ANSWERS = "chunk long, shard int, q binary, weights binary, types binary"
+
+
+def _requests(g: Grams) -> list[tuple[int, bytes, bytes]]:
+    homes, keys = g.keys()
+    order, parts = _by_shard(homes)
+    by = {s: [keys[order[at]].tobytes(), b""] for s, at in parts}
+    order, parts = _by_shard(g.homes[g.contexts])
+    for s, at in parts:
+        by.setdefault(s, [b"", b""])[1] = g.names[g.contexts[order[at]]].tobytes()
+    return [(s, *by[s]) for s in sorted(by)]
+
+
+def _answers(g: Grams, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of the bigrams and of the tail's tokens as they are read, and W and T of all distinct tokens as contexts."""
+    answers = answers.sort_by("shard")
+    homes, keys = g.keys()
+    read = np.zeros(len(keys))
+    read[_by_shard(homes)[0]] = rep(_array(answers["q"], np.uint8))
+    weights, types = np.zeros(len(g.distinct)), np.zeros(len(g.distinct))
+    order = g.contexts[_by_shard(g.homes[g.contexts])[0]]
+    weights[order], types[order] = _array(answers["weights"], np.float64), _array(answers["types"], np.uint32)
+    return read, weights, types
+
+
+def answer(requests: DataFrame, shards: DataFrame) -> DataFrame:
+    """Each shard probes its filter for what the chunks ask."""
+
+    def run(asked: pa.Table, shard: pa.Table) -> pa.Table:
+        keys, names = _array(asked["keys"], np.uint32), _array(asked["names"], np.uint32)
+        q, weights, types = np.zeros(len(keys), np.uint8), np.zeros(len(names)), np.zeros(len(names), np.uint32)
+        if shard.num_rows and asked.num_rows:
+            distinct, of = np.unique(keys, return_inverse=True)
+            q = CountFilter(_array(shard["words"], np.uint64)).quanta(distinct)[of]
+            held, w, t = (_array(shard[c], k) for c, k in (("names", np.uint32), ("weights", np.float64), ("types", np.uint32)))
+            if len(held):
+                at = np.minimum(np.searchsorted(held, names), len(held) - 1)
+                known = held[at] == names
+                weights[known], types[known] = w[at[known]], t[at[known]]
+        a = np.cumsum([0, *[len(x) // 4 for x in asked["keys"].to_pylist()]])
+        b = np.cumsum([0, *[len(x) // 4 for x in asked["names"].to_pylist()]])
+        columns = [asked["chunk"], asked["shard"], pa.array([q[i:j].tobytes() for i, j in zip(a, a[1:])], pa.binary()), *[pa.array([x[i:j].tobytes() for i, j in zip(b, b[1:])], pa.binary()) for x in (weights, types)]]
+        return pa.Table.from_arrays(columns, names=["chunk", "shard", "q", "weights", "types"])
+
+    return requests.groupBy("shard").cogroup(shards.select("shard", "words", "names", "weights", "types").groupBy("shard")).applyInArrow(run, ANSWERS)
 
 
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, score double, token array<string>, tf array<int>"
 
 
-def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, head_size: int = 1 << 18) -> DataFrame:
+def score_chunk(m: Model, texts: list[list[bytes]], answers: pa.Table) -> list[tuple[int, int, float, float, Counter]]:
+    """For each text's tokens (one at least): their number, known head tokens, these ones' part of the base score, log10
+    probability, and the other tokens."""
+    g = Grams(texts, m.head, m.shard_count)
+    read, weights, types = _answers(g, answers)
+    if g.hot.any():
+        at = np.searchsorted(m.hot_names, g.names[g.hot])
+        weights[g.hot], types[g.hot] = m.hot_weights[at], m.hot_types[at]
+    inside = g.ids >= 0
+    exact = np.where(inside, m.head.counts[np.maximum(g.ids, 0)] if len(m.head.counts) else 0, 0).astype(float)
+    c = exact.copy()
+    c[g.tail] = read[len(g.pair_keys) :]
+    single = (c + 1) / (m.read + m.v + 1)
+    w = weights[g.before]
+    seen = w > 0
+    p = single[g.code]
+    pair = read[: len(g.pair_keys)][g.pair_of]
+    p[seen] = np.maximum(pair[seen] - DISCOUNT, 0) / w[seen] + DISCOUNT * types[g.before][seen] / w[seen] * p[seen]
+    base, known = np.log10(exact + 1)[g.code], inside[g.code]
+    at = g.starts[:-1]
+    outside = np.flatnonzero(~known)
+    cuts = np.searchsorted(outside, g.starts)
+    others = [g.words[i] for i in outside]
+    sums = [np.add.reduceat(x, at).tolist() for x in (known.astype(np.int64), base, np.log10(np.minimum(p, 1.0)))]
+    return list(zip(np.diff(g.starts).tolist(), *sums, (Counter(others[i:j]) for i, j in zip(cuts, cuts[1:]))))
+
+
+def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, head_size: int = 1 << 18, shard_tokens: int = SHARD_TOKENS, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; learnt from rows not held out."""
     spark = docs.sparkSession
     ship(spark)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", modulus, remainder).alias("held_out"), F.col("text").cast("string").alias("text"))
-    counts, model, least = train(marked.filter(~F.col("held_out")), head_size)
+    counts, model, least, shards = train(marked.filter(~F.col("held_out")), head_size, shard_tokens)
     shared = spark.sparkContext.broadcast(model)
+    chunks = 1 + int(1.2 * model.n) // chunk_tokens
+    # by row, not by text: copies of one text are dealt over all chunks
+    dealt = marked.withColumn("row", F.monotonically_increasing_id()).withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks))).select("chunk", "row", "doc_id", "held_out", "text")
 
-    def run(batches):
+    def in_order(t: pa.Table) -> pa.Table:
+        return t.sort_by("row")
+
+    def ask(t: pa.Table) -> pa.Table:
         m: Model = shared.value
-        row = TaskContext.get().partitionId() << 33
-        for b in batches:
-            out, keys, held, texts_ = [], b.column(0).to_pylist(), b.column(1).to_pylist(), [tokens(t) for t in raw_texts(b)]
-            i = 0
-            while i < len(texts_):  # texts of about 100,000 tokens at a time
-                j, size = i, 0
-                while j < len(texts_) and (j == i or size + len(texts_[j]) < 100_000):
-                    size += len(texts_[j])
-                    j += 1
-                for k, (n, known, base, score, others) in zip(range(i, j), m.score(texts_[i:j])):
-                    out.append((row, keys[k], held[k], n, known, base, score, [w.decode() for w in others], list(others.values())))
-                    row += 1
-                i = j
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "score", "token", "tf"])
-
-    scored = cut(marked.mapInArrow(run, SCORED), "lm-scored")
+        rows = _requests(Grams([tokens(x or b"") for x in in_order(t)["text"].cast(pa.binary()).to_pylist()], m.head, m.shard_count))
+        made = [pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))]
+        return pa.Table.from_arrays([pa.array([t["chunk"][0].as_py()] * len(rows), pa.int64()), *made], names=["chunk", "shard", "keys", "names"])
+
+    def score(t: pa.Table, answers: pa.Table) -> pa.Table:
+        t = in_order(t)
+        got = score_chunk(shared.value, [tokens(x or b"") for x in t["text"].cast(pa.binary()).to_pylist()], answers) if t.num_rows else []
+        n, known, base, p, others = zip(*got) if got else [[]] * 5
+        columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(p, pa.float64()), pa.array([[w.decode() for w in o] for o in others], pa.list_(pa.string())), pa.array([list(o.values()) for o in others], pa.list_(pa.int32()))]
+        return pa.Table.from_arrays([t["row"], t["doc_id"], t["held_out"], *columns], names=[x.split()[0] for x in SCORED.split(", ")])
+
+    answers = answer(dealt.groupBy("chunk").applyInArrow(ask, REQUESTS), shards)
+    scored = cut(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, SCORED), "lm-scored")
+    drop(shards)
     others = scored.select("row", F.explode(F.arrays_zip("token", "tf")).alias("x")).select("row", "x.token", "x.tf")
     found = others.join(counts.filter(_bucket(F.col("c")) < least), "token").groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("base"), F.sum("tf").alias("known"))
     per_token = float(np.log10(model.n + model.v + 1))
