@@ -6,14 +6,17 @@ passage within k edits. An automaton finds all pieces in a text; each hit gives
 neighbouring diagonals make one window, and Myers' bit-parallel algorithm finds the least distance of the item to any
 passage of the window. The pair is a match if that is at most k.
 
-Items are taken in blocks of at most `block_chars` characters, each sent to all tasks; there are as many passes over the
-texts as blocks, one for any usual benchmark. Items under `min_chars` characters can't be told from chance and match nothing.
-Equal items match alike, each under its own item_id; repeated rows give repeated matches. Null texts match nothing.
+Items are taken in blocks of at most `block_chars` characters, one at a time, each sent to all tasks; there are as many passes
+over the texts as blocks, one for any usual benchmark. Items under `min_chars` characters have no budget and match between
+word borders only. Items without text match nothing. Equal items match alike, each under its own item_id, a null one
+included; of passages at the same distance the first counts. Repeated rows give repeated matches, null and empty texts none,
+empty tables an empty result; other columns are ignored, and kept by without_leaks.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
 import ahocorasick
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import release, ship, table, texts
+from tidemark.llm.common import cut, drop, release, ship, table, texts
 
 ERROR_RATE, MIN_CHARS, BLOCK_CHARS = 0.05, 40, 4_000_000
 
@@ -72,9 +75,10 @@ class Pattern:
 class Items:
     """A block of items with the automaton of their pieces."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
+    def __init__(self, items: list[tuple[int | None, str]], error_rate: float, min_chars: int):
         self.items = items
-        self.budget = [int(len(t) * error_rate) for _, t in items]
+        self.short = [len(t) < min_chars for _, t in items]
+        self.budget = [0 if s else int(len(t) * error_rate) for s, (_, t) in zip(self.short, items)]
         self.patterns = [Pattern(t) for _, t in items]
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, (_, t) in enumerate(items):
@@ -86,15 +90,19 @@ class Items:
         self.finder.make_automaton()
 
     def search(self, text: str) -> list[tuple[int, int, int]]:
-        """(item, distance, end in the normalised text) of each item that matches."""
+        """(item's number, distance, end in the normalised text) of each item that matches."""
         text = normalize(text)
         diagonals: dict[int, set[int]] = defaultdict(set)
         for end, (size, places) in self.finder.iter(text):
             for i, offset in places:
-                diagonals[i].add(end + 1 - size - offset)
+                if not self.short[i] or not (text[end - size : end - size + 1] if end >= size else " ").isalnum() and not text[end + 1 : end + 2].isalnum():
+                    diagonals[i].add(end + 1 - size - offset)
         out = []
         for i, found in diagonals.items():
             k, n = self.budget[i], self.patterns[i].n
+            if self.short[i]:
+                out.append((i, 0, min(found) + n))
+                continue
             best, where, windows = k + 1, 0, []
             for d in sorted(found):
                 a, b = max(0, d - k), d + n + k
@@ -109,21 +117,23 @@ class Items:
                 if not best:
                     break
             if best <= k:
-                out.append((self.items[i][0], best, where))
+                out.append((i, best, where))
         return out
 
 
-def item_blocks(items: DataFrame, min_chars: int, block_chars: int) -> list[list[tuple[int, str]]]:
-    """Normalised items in blocks of bounded size; a block's share of the table is read at a time."""
+def item_blocks(items: DataFrame, block_chars: int) -> tuple[int, Iterator[list[tuple[int | None, str]]]]:
+    """Number of blocks of bounded size, and the blocks of normalised items, one after another: only one is at hand at a time."""
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-2 * size // block_chars))
-    out = []
-    for i in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).select(F.col("item_id").cast("long"), F.col("text").cast("string")).collect()
-        block = sorted({(r[0], t) for r in rows if r[0] is not None and len(t := normalize(r[1] or "")) >= min_chars})
-        if block:
-            out.append(block)
-    return out
+
+    def blocks():
+        for i in range(n):
+            rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).select(F.col("item_id").cast("long"), F.col("text").cast("string")).collect()
+            block = sorted({(r[0], t) for r in rows if (t := normalize(r[1] or ""))}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+            if block:
+                yield block
+
+    return n, blocks()
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -132,18 +142,22 @@ def find_leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE
     schema = "doc_id long, item_id long, distance int, budget int, ends_at long"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = []
-    for block in item_blocks(items, min_chars, block_chars):
+    n, blocks = item_blocks(items, block_chars)
+    for block in blocks:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            held = Items(shared.value, error_rate)
-            budget = {k: b for (k, _), b in zip(held.items, held.budget)}
+            held = Items(shared.value, error_rate, min_chars)
             for b in batches:
-                out = [(key, i, d, budget[i], end) for key, t in zip(b.column(0).to_pylist(), texts(b)) for i, d, end in held.search(t)]
+                out = [(key, held.items[i][0], d, held.budget[i], end) for key, t in zip(b.column(0).to_pylist(), texts(b)) for i, d, end in held.search(t)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], ["doc_id", "item_id", "distance", "budget", "ends_at"])
 
-        parts.append(rows.mapInArrow(run, schema))
+        part = rows.mapInArrow(run, schema)
+        if n > 1:  # so that the block can go
+            part = cut(part, "leaks")
+            shared.destroy()
+        parts.append(part)
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -151,16 +165,21 @@ def without_leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_R
     """The rows whose text holds no item, all columns kept; decided in place, without a join."""
     ship(docs.sparkSession)
     out = docs
-    for block in item_blocks(items, min_chars, block_chars):
+    n, blocks = item_blocks(items, block_chars)
+    for block in blocks:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            held = Items(shared.value, error_rate)
+            held = Items(shared.value, error_rate, min_chars)
             for b in batches:
                 yield b.filter(pa.array([not held.search(t) for t in texts(b)], pa.bool_()))
             release()
 
-        out = out.mapInArrow(run, docs.schema)
+        before, out = out, out.mapInArrow(run, docs.schema)
+        if n > 1:
+            out = cut(out, "leak-free")
+            shared.destroy()
+            drop(before)
     return out
 
 
