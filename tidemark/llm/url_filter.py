@@ -5,11 +5,13 @@ held as a cascade: level 0 encodes the listed keys, level 1 those keys of the co
 takes for listed though they aren't, level 2 the listed ones that level 1 takes for false positives, and so on until a
 level has no false positives. Every key of the universe is then judged exactly, by probes alone and without a join.
 
-A page's keys are its host and all parents of it. The cascade is sent to all executors only if the list has at most
-`max_keys` keys (10 bits each: 5 MB for 4 million); a longer list is joined by key instead, with the same verdicts.
+A page's keys are its host and all parents of it. The keys are dealt by hash into shards of at most about `max_keys` listed
+keys (10 bits each: 5 MB for 4 million), each with a cascade of its own; one shard at a time is sent to all executors, and
+each further one costs a pass over the pages' hosts. Usual lists are one shard.
 
-Null urls and urls without `://` have empty host and path, fit no rule and are allowed. Rows repeat as they come; other
-columns are ignored; an empty table or an empty list gives an empty result or no block.
+Null urls and urls without `://` have empty host and path, fit no rule and are allowed. Of rules that fit the longest wins, and
+equally long ones can't fit both. Rows repeat as they come; other columns are ignored; null keys of the list are left out; an
+empty table or an empty list gives an empty result or no block.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from tidemark.llm.common import cut, drop, lowered, mix, ship, table
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Words between dots or hyphens of a host that put it on the default list.
 LISTED_WORDS = ("ads", "adult", "bet", "bets", "casino", "cheap", "farm", "pills", "porn", "spam", "track", "viagra", "win", "xxx")
-BITS_PER_KEY, PROBES = 10, 4
+BITS_PER_KEY, PROBES, MOST_LEVELS = 10, 4, 64
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -120,64 +122,71 @@ def _hits(keys: DataFrame, cascade: Cascade, level: int) -> DataFrame:
     return keys.select("h1", "h2").mapInArrow(run, "h1 long, h2 long")
 
 
-def build_cascade(universe: DataFrame, max_keys: int = 4_000_000, bits_per_key: int = BITS_PER_KEY, probes: int = PROBES) -> Cascade | None:
-    """universe: one row for each key, with `key` and `listed`. None if the list is too long to be sent to all executors."""
-    keys = cut(universe.select(*_hashes(F.col("key")), "listed"), "url-keys")
-    listed, rest = keys.filter("listed"), keys.filter("not listed")
-    cascade, made = Cascade(bits_per_key, probes), [keys]
-    inside, outside = listed, rest
+def build_cascade(keys: DataFrame, bits_per_key: int = BITS_PER_KEY, probes: int = PROBES) -> Cascade:
+    """keys: one row for each key of the universe, with h1, h2 and `listed`, a written table."""
+    cascade, made = Cascade(bits_per_key, probes), []
+    inside, outside = keys.filter("listed"), keys.filter("not listed")
     n = inside.count()
-    if n > max_keys:
-        return None
-    while n and len(cascade.levels) < 64:
+    while n:
+        if len(cascade.levels) == MOST_LEVELS:  # each level halves what is left at least; only equal hashes of two keys go on for ever
+            raise RuntimeError("the cascade does not settle: two keys have equal hashes")
         cascade.add(inside, n)
         hit = cut(_hits(outside, cascade, len(cascade.levels) - 1), "url-level")
         made.append(hit)
         inside, outside = hit, inside
         n = inside.count()
-        if n > max_keys:
-            return None
     for t in made:
         drop(t)
     return cascade
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, listed: DataFrame | None = None, max_keys: int = 4_000_000) -> DataFrame:
-    """page_id, host, path, rule, verdict, listed_host of each row. listed: a column `key` of host names; else LISTED_WORDS decide."""
-    ship(pages.sparkSession)
+def default_list(pages: DataFrame, words: Sequence[str] = LISTED_WORDS) -> DataFrame:
+    """key: the hosts of the pages, and their parents, whose first label has a listed word."""
+    hosts = pages.select(host_and_path(F.col("url"))[0].alias("host")).distinct()
+    return hosts.select(F.explode(host_keys(F.col("host"))).alias("key")).distinct().filter(looks_listed(F.col("key"), words))
+
+
+def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, max_keys: int = 4_000_000) -> DataFrame:
+    """page_id, host, path, rule, verdict, listed_host of each row. listed: a column `key` of host names, A-Z in any case."""
+    spark = pages.sparkSession
+    ship(spark)
     host, path = host_and_path(F.col("url"))
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    hosts = parsed.select("host").distinct()
-    keys = hosts.select(F.explode(host_keys(F.col("host"))).alias("key")).distinct()
-    if listed is None:
-        universe = keys.select("key", looks_listed(F.col("key")).alias("listed"))
-    else:
-        both = keys.select("key", F.lit(False).alias("listed")).unionByName(listed.select(lowered("key").alias("key"), F.lit(True).alias("listed")).filter("key is not null"))
-        universe = both.groupBy("key").agg(F.max("listed").alias("listed"))
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    cascade = build_cascade(universe, max_keys)
-    if cascade is None:
-        on = universe.filter("listed").select("key")
-        bad = hosts.select("host", F.explode(host_keys(F.col("host"))).alias("key")).join(on, "key").select("host").distinct().withColumn("listed_host", F.lit(True))
-        judged = parsed.join(bad, "host", "left").withColumn("listed_host", F.coalesce("listed_host", F.lit(False)))
-    else:
-        schema = "page_id long, host string, path string, listed_host boolean"
-
-        def run(batches):
+    own = parsed.select("host").distinct().select(F.explode(host_keys(F.col("host"))).alias("key"), F.lit(False).alias("listed"))
+    both = own.unionByName(listed.select(lowered("key").alias("key"), F.lit(True).alias("listed")).filter("key is not null"))
+    keys = cut(both.groupBy("key").agg(F.max("listed").alias("listed")).select(*_hashes(F.col("key")), "listed"), "url-keys")
+    n = {r.listed: r["count"] for r in keys.groupBy("listed").count().collect()}
+    shards = max(1, -(-max(n.get(True, 0), n.get(False, 0) // 50) // max(1, max_keys)))
+    schema = "page_id long, host string, path string, h1 array<long>, h2 array<long>, listed_host boolean"
+    h = host_keys(F.col("host"))
+    rows = parsed.select("page_id", "host", "path", F.transform(h, lambda k: F.xxhash64(k)).alias("h1"), F.transform(h, lambda k: F.xxhash64(F.lit("second"), k)).alias("h2"), F.lit(False).alias("listed_host"))
+    for shard in range(shards):
+        shared = spark.sparkContext.broadcast(build_cascade(keys.filter(F.pmod("h1", F.lit(shards)) == shard)))
+
+        def run(batches, shared=shared, shard=shard):
+            cascade = shared.value
             for b in batches:
-                h1, h2 = b.column(3), b.column(4)
-                starts = h1.offsets.to_numpy()
-                found = cascade.member(h1.values.to_numpy().view(np.uint64), h2.values.to_numpy().view(np.uint64))
-                sums = np.concatenate([[0], np.cumsum(found)])
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sums[starts[1:]] > sums[starts[:-1]])], ["page_id", "host", "path", "listed_host"])
-
-        h = host_keys(F.col("host"))
-        judged = parsed.select("page_id", "host", "path", F.transform(h, lambda k: F.xxhash64(k)).alias("h1"), F.transform(h, lambda k: F.xxhash64(F.lit("second"), k)).alias("h2")).mapInArrow(run, schema)
-    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed_host"), "block").otherwise("allow")).alias("verdict"), "listed_host")
+                a, c = b.column(3).flatten().to_numpy(), b.column(4).flatten().to_numpy()
+                lengths = b.column(3).value_lengths().to_numpy()
+                mine, found = a % shards == shard, np.zeros(len(a), np.int64)
+                found[mine] = cascade.member(a[mine].view(np.uint64), c[mine].view(np.uint64))
+                sums, ends = np.concatenate([[0], np.cumsum(found)]), np.cumsum(lengths)
+                hit = (sums[ends] > sums[ends - lengths]) | b.column(5).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(hit)], b.schema.names)
+
+        before, rows = rows, rows.mapInArrow(run, schema)
+        if shards > 1:  # so that the shard can go
+            rows = cut(rows, "url-rows")
+            shared.destroy()
+            drop(before)
+    drop(keys)
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed_host"), "block").otherwise("allow")).alias("verdict"), "listed_host")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, default_list(pages))
 
 
 _FIT = "CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 0 WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 1 WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 2 WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 3 END"
