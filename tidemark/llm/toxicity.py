@@ -12,9 +12,10 @@ copies of one text don't make its words look telling. The logistic function is f
 labelled training rows up to `sample`, beyond that a share of them, chosen by a hash of doc_id, of about that size.
 Only texts are read: neither labels nor any other column are inputs of a score.
 
-Nulls count as empty texts, which score as a text without a matching clause does. Rows repeat as they come; a doc_id with
-several labels is toxic if one says so; labels that are null are left out. If labels are missing, the built-in word list
-and default coefficients are used.
+Nulls count as empty texts, which score as a text without a matching clause does. Rows repeat as they come, a null doc_id is
+no held-out row; a doc_id with several labels is toxic if one says so; labels that are null are left out. If labels are
+missing, the built-in word list and default coefficients are used. An empty table gives an empty result; other columns are
+no input, and keep their names in without_toxic. Equal texts score alike, so no tie needs a rule.
 """
 
 from __future__ import annotations
@@ -124,11 +125,9 @@ class Grammar:
         for end, _ in self.finder.iter(text):
             if end < done:
                 continue
-            a = max(text.rfind(c, 0, end) for c in CLAUSE_END) + 1 if end - done < 400 else 0
-            if not a:
-                a = max([text.rfind(c, done, end) + 1 for c in CLAUSE_END] + [done])
+            a = max(text.rfind(c, done, end) for c in CLAUSE_END) + 1 or done  # never further back, so that time is linear
             b = next((i for i in range(end + 1, len(text)) if text[i] in CLAUSE_END), len(text))
-            score = self.clause(text[max(a, done) : b])
+            score = self.clause(text[a:b])
             total, largest, done = total + score, max(largest, score), b
         return total, largest
 
