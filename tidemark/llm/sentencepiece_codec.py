@@ -4,7 +4,7 @@ A text is normalised by the model's compiled character map: at each place the lo
 replaced, and every output byte records the source bytes it came from. BPE merges then run over chunks of the normalised
 text, and each piece is projected through that record to a byte span of the original text. Chunks begin where a word mark
 follows another character; no piece of the vocabulary reaches over such a place (checked when the model loads), so chunks
-are independent and their results can be kept in a cache of bounded size.
+are independent and their results, spans relative to the chunk included, can be kept in a cache of bounded size.
 
 Nulls count as empty texts; an empty text has the end id only. Ties between merges go to the leftmost pair. Rows repeat
 as they come, other columns are ignored, an empty table gives an empty result.
@@ -16,8 +16,12 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
+from operator import sub
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +30,7 @@ from tidemark.llm.common import release, ship, table, texts
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NEVER = float("-inf")
-DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
 SPAN_SCHEMA = "doc_id long, ids array<int>, pieces array<string>, begins array<int>, ends array<int>"
 
 
@@ -135,17 +139,15 @@ class PieceModel:
         self.unk = next(i for i, (_, _, t) in enumerate(self.pieces) if t == UNKNOWN)
         self.end = next((i for i, (p, _, t) in enumerate(self.pieces) if t == CONTROL and p == "</s>"), -1)
         self.space = MARK if self.escape else " "
+        self.decimals = {p: str(i) for p, i in self.ids.items()}
+        self.identity = not charsmap and not self.user and not self.remove_extra
+        #: Every chunk of a plain model's texts begins with a mark, which the cache's keys leave out.
         self.plain = not charsmap and not self.user and not self.remove_extra and self.dummy_prefix and self.escape
         whole = any(self.space in p.lstrip(self.space) for p in self.ids)
         self.chunks = re.compile("(?s).+") if whole or self.user else re.compile(f"{self.space}*[^{self.space}]+|{self.space}+")
         self.limit = cache_size
-        self.ids_of: dict[str, str] = {}
-        self.surface_of: dict[str, str] = {}
-        self.old_ids: dict[str, str] = {}
-        self.old_surfaces: dict[str, str] = {}
-        #: In plain models every chunk begins with a mark, which the cache's keys leave out.
-        self.prefix = MARK if self.plain else ""
-        self.decimals = {p: str(i) for p, i in self.ids.items()}
+        self.known: dict[str, tuple[str, str, bytes]] = {}
+        self.old: dict[str, tuple[str, str, bytes]] = {}
 
     def normalize(self, text: str) -> tuple[str, list[int]]:
         """The normalised text and, for each of its UTF-8 bytes and the end, the source byte it begins at."""
@@ -250,46 +252,59 @@ class PieceModel:
             return [i]
         return [self.byte_ids[b] for b in piece.encode()] if self.byte_fallback else [self.unk]
 
-    def learn(self, chunk: str) -> tuple[str, str]:
-        """A chunk's (less the model's prefix) ids, as decimals, and what they decode to inside a text. Short chunks go into the cache."""
-        if chunk in self.old_ids:
-            got = self.old_ids[chunk], self.old_surfaces[chunk]
+    def learn(self, chunk: str) -> tuple[str, str, bytes]:
+        """Of a plain model's chunk (less its leading mark): ids, as decimals; what they decode to inside a text; and for each id,
+        in 16 bits, the bytes by which it moves the end on in the original text, the blank before the chunk included: 0 if it
+        shares its character with the id before. The chunk goes through the aligned normaliser. Short chunks go into the cache."""
+        if chunk in self.old:
+            got = self.old[chunk]
         else:
-            pieces = self.merge(self.prefix + chunk)
+            if self.identity and chunk.isascii():  # each byte is its own source, and the mark's the blank's
+                norm, align = MARK + chunk, None
+            else:
+                norm, align = self.normalize(chunk.replace(MARK, " ")) if chunk else (MARK, [0] * (len(MARK.encode()) + 1))
+            pieces = self.merge(norm)
             try:
-                got = " ".join([self.decimals[p] for p in pieces]), (self.prefix + chunk).replace(MARK, " ")
+                ids = " ".join([self.decimals[p] for p in pieces])
             except KeyError:
-                ids = [i for p in pieces for i in self.to_ids(p)]
-                got = " ".join(map(str, ids)), self.surface(ids)
+                got = self._learn_bytes(pieces, align or [*[0] * len(MARK.encode()), *range(len(chunk) + 1)])
+            else:
+                if align:
+                    ends = [align[x] for x in accumulate([len(p.encode()) for p in pieces])]
+                    widths = map(sub, ends, [-1, *ends])
+                else:
+                    widths = map(len, pieces)
+                got = ids, norm.replace(MARK, " "), array("H", widths).tobytes()
         if len(chunk) <= 100:
-            self.ids_of[chunk], self.surface_of[chunk] = got
+            self.known[chunk] = got
         return got
 
-    def ids_and_text(self, chunks: list[str]) -> tuple[str, str]:
-        """Ids of a text's chunks, as decimals, and the text they decode to. The cache has two generations of bounded size."""
-        ids, surfaces = list(map(self.ids_of.get, chunks)), list(map(self.surface_of.get, chunks))
-        if None in ids:
-            for i, got in enumerate(ids):
+    def _learn_bytes(self, pieces: list[str], align: list[int]) -> tuple[str, str, bytes]:
+        """The same of pieces of which some have no id but those of their bytes."""
+        ids, steps, at, before = [], array("H"), 0, -1
+        for p in pieces:
+            to = at + len(p.encode())
+            own = self.to_ids(p)
+            ids += own
+            steps.extend([align[to] - before, *[0] * (len(own) - 1)])
+            at, before = to, align[to]
+        return " ".join(map(str, ids)), self.surface(ids), steps.tobytes()
+
+    def chunk_results(self, chunks: list[str]) -> tuple[str, str, bytes]:
+        """learn() of a text's chunks, joined. The cache has two generations of bounded size."""
+        found = list(map(self.known.get, chunks))
+        if None in found:
+            for i, got in enumerate(found):
                 if got is None:
-                    c = chunks[i]
-                    ids[i], surfaces[i] = (self.ids_of[c], self.surface_of[c]) if c in self.ids_of else self.learn(c)
-        if len(self.ids_of) > self.limit:
-            self.old_ids, self.old_surfaces = self.ids_of, self.surface_of
-            self.ids_of, self.surface_of = {}, {}
-        return " ".join(ids), "".join(surfaces)
+                    found[i] = self.known.get(chunks[i]) or self.learn(chunks[i])
+        if len(self.known) > self.limit:
+            self.known, self.old = {}, self.known
+        ids, surfaces, spans = zip(*found)
+        return " ".join(ids), "".join(surfaces), b"".join(spans)
 
     def forget(self) -> None:
         """Empties the cache, which outlives no task."""
-        self.ids_of, self.surface_of, self.old_ids, self.old_surfaces = {}, {}, {}, {}
-
-    def split(self, text: str) -> list[str]:
-        if self.plain:
-            if not text:
-                return []
-            text = self.space + text.replace(" ", self.space)
-        else:
-            text = self.normalize(text)[0]
-        return self.chunks.findall(text)
+        self.known, self.old = {}, {}
 
     def encode_spans(self, text: str) -> tuple[list[int], list[str], list[tuple[int, int]]]:
         """Ids, pieces and byte spans of the original text; bytes of one character share its span."""
@@ -345,17 +360,31 @@ class PieceModel:
                 text = text[1:]
         return text
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids with the end, hash of the ids, hash of the decoded text."""
-        if self.plain and text and "  " not in text and MARK not in text and text[0] != " " and text[-1] != " ":
-            chunks = text.split(" ")
+    def digest(self, text: str) -> tuple[int, str, str, str]:
+        """Number of ids with the end, hash of the ids, hash of the decoded text, hash of the spans: all begins, then all ends, as
+        32-bit little-endian integers, the end id left out."""
+        if not self.plain or MARK in text:
+            ids, _, spans = self.encode_spans(text)
+            places = np.array([*[a for a, _ in spans], *[b for _, b in spans]], "<i4")
+            decoded, ids = self.decode(ids), " ".join(map(str, ids))
+        elif not text:
+            ids, decoded, places = "", "", np.zeros(0, "<i4")
         else:
-            chunks = [c[len(self.prefix) :] for c in self.split(text)]
-        ids, decoded = self.ids_and_text(chunks)
+            if "  " not in text and text[0] != " " and text[-1] != " ":
+                chunks = text.split(" ")
+            else:
+                chunks = [c[len(MARK) :] for c in self.chunks.findall(MARK + text.replace(" ", MARK))]
+            ids, decoded, steps = self.chunk_results(chunks)
+            widths = np.frombuffer(steps, np.uint16).astype("<i4")
+            ends = np.cumsum(widths, dtype="<i4") - 1  # no blank stands before the first chunk
+            if not widths.all():
+                widths = widths[np.maximum.accumulate(np.where(widths, np.arange(len(widths)), 0))]
+            places = np.concatenate([ends - widths, ends])
+            places[places < 0] = 0
+            if decoded.startswith(" "):
+                decoded = decoded[1:]
         ids = f"{ids} {self.end}" if ids else str(self.end)
-        if self.dummy_prefix and chunks and decoded.startswith(" "):
-            decoded = decoded[1:]
-        return ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        return ids.count(" ") + 1, *(hashlib.sha256(x).hexdigest() for x in (ids.encode(), decoded.encode(), places.tobytes()))
 
 
 _MODELS: dict[int, PieceModel] = {}
@@ -381,7 +410,7 @@ def default_model_path() -> str:
 
 
 def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; the model file (a few hundred kB) is read on the driver."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256 of each row; the model file (a few hundred kB) is read on the driver."""
     ship(docs.sparkSession)
     blob = docs.sparkSession.sparkContext.broadcast(model_bytes(model_path))
 
@@ -390,8 +419,8 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
         for b in batches:
             rows = [m.digest(t) for t in texts(b)]
             if rows:
-                n, ids, decoded = zip(*rows)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                n, ids, decoded, spans = zip(*rows)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded), pa.array(spans)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
         m.forget()
         release()
 
