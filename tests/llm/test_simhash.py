@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from tidemark.llm import near_copies as N
 from tidemark.llm import simhash as S
 from tidemark.llm.components import connected_components
 
@@ -60,7 +61,6 @@ def test_fingerprints_and_components_match_brute_force(spark):
 def test_large_buckets(spark, monkeypatch, radius):
     """Many distinct fingerprints about few centres: all ways of dividing are taken, and none loses a component."""
     monkeypatch.setattr(S, "SMALL_BUCKET", 2)
-    monkeypatch.setattr(S, "HOT_BUCKET", 5)
     r = random.Random(radius)
     fps = {0}
     for _ in range(12):
@@ -73,7 +73,7 @@ def test_large_buckets(spark, monkeypatch, radius):
         for _ in range(10):  # equal in the upper half
             fps.add(c >> 32 << 32 | r.getrandbits(32))
     signed = [S._signed(x) for x in fps]
-    got = {x.node: x.root for x in S.link_components(spark.createDataFrame([(x,) for x in signed], "fp long"), radius).collect()}
+    got = {x.node: x.root for x in S.link_components(spark.createDataFrame([(x,) for x in signed], "fp long"), radius, hot_bucket=5).collect()}
     want = roots(signed, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= radius)
     assert {n: got.get(n, n) for n in signed} == want
 
@@ -102,14 +102,40 @@ def test_one_of_each_group_stays(spark):
     base = [" ".join("w%d" % r.randrange(5000) for _ in range(300)) for _ in range(10)]
     rows = [(i, t) for i, t in enumerate(base)] + [(20 + i, t) for i, t in enumerate(base[:4])] + [(40, base[5].replace(base[5].split()[100], "other", 1)), (7, base[7]), (50, ""), (51, None), (None, base[9]), (None, "single text " * 30)]
     d = spark.createDataFrame([(*x, 1.5) for x in rows], "doc_id long, text string, root double")
-    kept = S.without_near_duplicates(d)
+    kept = N.without_near_duplicates(d)
     assert kept.columns == d.columns
     assert sorted((x.doc_id is None, x.doc_id or 0) for x in kept.collect()) == [(False, i) for i in range(10)] + [(False, 50), (True, 0)]
 
 
 def test_empty_table(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
-    assert S.near_duplicate_components(d).count() == 0 and S.without_near_duplicates(d).count() == 0
+    assert S.near_duplicate_components(d).count() == 0 and N.without_near_duplicates(d).count() == 0
+
+
+def test_shared_boilerplate_is_no_copy(spark):
+    rows = [(i, "x " * 260 + " ".join(f"w{i}_{k}" for k in range(200))) for i in range(4)]
+    assert N.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == 4
+    with pytest.raises(ValueError):
+        N.without_near_duplicates(spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, __h int"))
+
+
+@pytest.mark.parametrize("hot, large", [(16, 8192), (2, 4)])
+def test_groups_of_near_copies_match_brute_force(spark, hot, large):
+    """Two large groups about a text each, whose members are more or less alike: also with buckets that are divided and dealt by salt."""
+    r = random.Random(23)
+    rows = []
+    for g in range(2):
+        base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+        for i in range(60):
+            copy = list(base)
+            for at in r.sample(range(150), r.choice([0, 1, 2, 3, 6, 9])):
+                copy[at] = f"x{r.randrange(10**6)}"
+            rows.append((1000 * g + i, " ".join(copy)))
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    groups = roots(shingles, lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]))
+    kept = {x.doc_id for x in N.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), hot_bucket=hot, large_bucket=large).collect()}
+    want = set(groups.values())
+    assert want <= kept and len(kept - want) <= 0.05 * (len(rows) - len(want))
 
 
 def test_nearly_all_pairs_at_the_threshold_are_found(spark):
@@ -125,6 +151,6 @@ def test_nearly_all_pairs_at_the_threshold_are_found(spark):
     shingles = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
     alike = [i for i in range(120) if 0.8 <= len(shingles[i] & shingles[1000 + i]) / len(shingles[i] | shingles[1000 + i]) < 0.83]
     assert len(alike) == 120
-    kept = {x.doc_id for x in S.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {x.doc_id for x in N.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept >= set(range(120))
     assert len([i for i in alike if 1000 + i not in kept]) >= 0.9 * len(alike)
