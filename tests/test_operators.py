@@ -1,7 +1,6 @@
 """Operators on small frames: hand calculations, boundaries, causality, refusals."""
 
 import datetime
-import math
 
 import numpy as np
 import pytest
@@ -14,11 +13,11 @@ from tidemark.sources import bars
 def frame(spark, n=60, close=None, volume=None, scale_after=None):
     rows = []
     for i in range(n):
-        c = close(i) if close else 100 + i + math.sin(i)
-        v = volume(i) if volume else 1_000_000.0 + 10_000 * i
+        c = close(i) if close else 40 + 7 * ((i * i) % 11) / 10 + i / 8
+        v = volume(i) if volume else 300.0 + (i * 37) % 101
         if scale_after is not None and i > scale_after:
             c, v = 10 * c, 10 * v
-        rows.append(("a", datetime.date(2024, 1, 1) + datetime.timedelta(days=i), float(c), float(c) + 2, float(c) - 2, float(c), float(v)))
+        rows.append(("a", datetime.date(2019, 3, 4) + datetime.timedelta(days=i), float(c), 1.01 * c, 0.98 * c, float(c), float(v)))
     return spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, volume double")
 
 
@@ -125,7 +124,7 @@ def test_sources(spark, tmp_path):
     d = frame(spark, 5).drop("symbol")
     bars.write_table(d, str(tmp_path / "c"), format="csv")
     raw = bars.read_csv(spark, str(tmp_path / "c"))
-    assert bars.normalize_rows(raw).orderBy("date").first().close == 100.0
+    assert bars.normalize_rows(raw).orderBy("date").first().close == 40.0  # the first close of frame()
     with pytest.raises(Exception, match="exist"):
         bars.write_table(d, str(tmp_path / "c"), format="csv")
     with pytest.raises(ValueError, match="missing"):
@@ -141,8 +140,19 @@ def test_sources(spark, tmp_path):
 
 def test_positions_and_newer_rows(spark):
     line = frame(spark, 10).select("symbol", "date")
-    assert splits.positions_on(line, line.filter("day(date) = 4")).first().position == 3
+    assert splits.positions_on(line, line.filter("day(date) = 7")).first().position == 3
     with pytest.raises(ValueError):
-        splits.positions_on(line.filter("day(date) > 4"), line)
-    assert splits.newer_rows(line.filter("day(date) <= 4"), line).count() == 10
+        splits.positions_on(line.filter("day(date) > 7"), line)
+    assert splits.newer_rows(line.filter("day(date) <= 7"), line).count() == 10
     assert splits.expand_grid(spark, {"b": [1, 2], "a": ["x"]}).count() == 2
+
+
+def test_folds_cover_all_rows_as_the_plan_says(spark):
+    d = spark.createDataFrame([("a", i) for i in range(103)] + [("b", i) for i in range(40)], "symbol string, row int")
+    got = {}
+    for r in splits.with_folds(d).collect():
+        got.setdefault((r.symbol, r.fold, r.part), []).append(r.row)
+    for symbol, n in (("a", 103), ("b", 40)):
+        for k, until, start, stop in splits.fold_plan(n):
+            assert sorted(got[symbol, k, "history"]) == list(range(until)) and sorted(got[symbol, k, "block"]) == list(range(start, stop))
+        assert splits.fold_plan(n)[-1][3] == n

@@ -72,11 +72,11 @@ def fit_predict(d: DataFrame, chosen: DataFrame, columns: list[str], scaled: boo
     return out.withColumn("score", F.when(~F.isnan("score"), F.col("score"))).withColumn("label", F.when(F.col("label") >= 0, F.col("label"))).withColumn("reason", F.when(F.col("reason") != "", F.col("reason")))
 
 
-def walk_forward(d: DataFrame, chosen: DataFrame, columns: list[str], plan: list[tuple[int, int, int, int]]) -> DataFrame:
-    """Out-of-sample predictions: each fold learns from its history and predicts its block."""
+def walk_forward(d: DataFrame, chosen: DataFrame, columns: list[str], folds: int = 4, first: float = 0.5, purge: int = 5) -> DataFrame:
+    """Out-of-sample predictions: each fold learns from its history and predicts its block; the folds cover all rows of a symbol."""
     from tidemark.operators.splits import with_folds
 
-    folded = with_folds(d.drop("part") if "part" in d.columns else d, plan).withColumn("part", F.when(F.col("part") == "history", "train").otherwise("block"))
+    folded = with_folds(d.drop("part") if "part" in d.columns else d, folds, first, purge).withColumn("part", F.when(F.col("part") == "history", "train").otherwise("block"))
     return fit_predict(folded, chosen, columns).filter("part = 'block'")
 
 

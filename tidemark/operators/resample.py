@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import ratio
 
+#: Results depend on them.
 BLOCK_ROWS, REPLICATES, SEED, COVERAGE = 20, 2000, 20261011, 0.95
 
 

@@ -108,12 +108,17 @@ def fold_plan(n: int, folds: int = 4, first: float = 0.5, purge: int = 5) -> lis
     return out
 
 
-def with_folds(d: DataFrame, plan: list[tuple[int, int, int, int]], row: str = "row") -> DataFrame:
-    """Each row once for every fold in which it is history or block. The plan is an array literal, not a join."""
-    spans = F.array(*[F.struct(F.lit(k).alias("fold"), F.lit(h).alias("until"), F.lit(a).alias("start"), F.lit(b).alias("stop")) for k, h, a, b in plan])
+def with_folds(d: DataFrame, folds: int = 4, first: float = 0.5, purge: int = 5, row: str = "row") -> DataFrame:
+    """Each row once for every fold in which it is history or block, by the plan of fold_plan() over all rows of its symbol. The
+    plan is an array of each row, not a join."""
+    d, n = d.withColumn("_n", (F.max(row).over(Window.partitionBy("symbol")) + 1).cast("int")), F.col("_n")
+    begin = F.floor(n * first).cast("int")
+    size, extra = F.floor((n - begin) / folds).cast("int"), (n - begin) % folds
+    starts = [begin + k * size + F.least(F.lit(k), extra) for k in range(folds + 1)]
+    spans = F.array(*[F.struct(F.lit(k).alias("fold"), (starts[k] - purge).alias("until"), starts[k].alias("start"), starts[k + 1].alias("stop")) for k in range(folds)])
     x = F.col("f")
     rows = d.withColumn("f", F.explode(spans)).filter((F.col(row) < x["until"]) | F.col(row).between(x["start"], x["stop"] - 1))
-    return rows.withColumn("fold", x["fold"]).withColumn("part", F.when(F.col(row) < x["until"], "history").otherwise("block")).drop("f")
+    return rows.withColumn("fold", x["fold"]).withColumn("part", F.when(F.col(row) < x["until"], "history").otherwise("block")).drop("f", "_n")
 
 
 def named_dataset(d: DataFrame, split: str, allow_test: bool = False) -> DataFrame:
@@ -146,7 +151,3 @@ def newer_rows(old: DataFrame, new: DataFrame) -> DataFrame:
     last = old.groupBy("symbol").agg(F.max("date").alias("_last"))
     added = new.join(last, "symbol", "left").filter(F.col("_last").isNull() | (F.col("date") > F.col("_last"))).drop("_last")
     return old.unionByName(added, allowMissingColumns=True)
-
-
-def share_of(x: Column, by: list[str]) -> Column:
-    return x / F.sum(x).over(Window.partitionBy(*by))

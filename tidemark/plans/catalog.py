@@ -170,10 +170,11 @@ def tail_split(spark, sf_dir):
     return splits.tail_split(event_labels(spark, sf_dir).filter("split = 'train'")).groupBy("symbol", "tail").agg(F.count("*").alias("n_rows"))
 
 
-@query("fold_rows", o.labeled("events") + """, plan(fold, until, start, stop) AS (VALUES (0, 45, 50, 63), (1, 58, 63, 76), (2, 71, 76, 88), (3, 83, 88, 100))
-SELECT symbol, fold::BIGINT AS fold, CASE WHEN row < until THEN 'history' ELSE 'block' END AS part, count(*) AS n_rows FROM labeled JOIN plan ON row < until OR row BETWEEN start AND stop - 1 WHERE split = 'train' GROUP BY ALL""")
+@query("fold_rows", o.labeled("events") + """, t AS (SELECT symbol, row FROM labeled WHERE split = 'train'), s AS (SELECT symbol, (max(row) + 1) // 2 AS begin, max(row) + 1 - (max(row) + 1) // 2 AS rest FROM t GROUP BY symbol),
+plan AS (SELECT symbol, fold, begin + fold * (rest // 4) + least(fold, rest % 4) AS start, begin + (fold + 1) * (rest // 4) + least(fold + 1, rest % 4) AS stop FROM s, range(4) AS f(fold))
+SELECT symbol, fold::BIGINT AS fold, CASE WHEN row < start - 5 THEN 'history' ELSE 'block' END AS part, count(*) AS n_rows FROM t JOIN plan USING (symbol) WHERE row < start - 5 OR row BETWEEN start AND stop - 1 GROUP BY ALL""")
 def fold_rows(spark, sf_dir):
-    d = splits.with_folds(event_labels(spark, sf_dir).filter("split = 'train'"), splits.fold_plan(100))
+    d = splits.with_folds(event_labels(spark, sf_dir).filter("split = 'train'"))
     return tidy(d.groupBy("symbol", "fold", "part").agg(F.count("*").alias("n_rows")))
 
 
@@ -457,7 +458,8 @@ def nearest_neighbours(spark, sf_dir):
 
 
 _REPLICATES = """, h AS MATERIALIZED (SELECT symbol, y, score, target, prediction, volatility_20d, row_number() OVER (PARTITION BY symbol ORDER BY row) - 1 AS row FROM scored WHERE split = 'test'),
-sz AS (SELECT symbol, count(*) AS n FROM h GROUP BY symbol), idx AS (SELECT symbol, r AS replicate, (r * 7919 + b * 104729) % (n - 19) + k AS row FROM sz, range(200) AS a(r), range(500) AS c(b), range(20) AS e(k) WHERE n >= 20 AND b < ceil(n / 20) AND b * 20 + k < n),
+sz AS (SELECT symbol, count(*) AS n FROM h GROUP BY symbol), blocks AS (SELECT symbol, n, r, unnest(range(ceil(n / 20)::BIGINT)) AS b FROM (SELECT symbol, n, unnest(range(2000)) AS r FROM sz WHERE n >= 20)),
+idx AS (SELECT symbol, r AS replicate, (r * 7919 + b * 104729) % (n - 19) + k AS row FROM blocks, range(20) AS e(k) WHERE b * 20 + k < n),
 rep AS (SELECT i.symbol, replicate, avg(abs(target - prediction)) AS a, avg(abs(target - volatility_20d)) AS b FROM idx i JOIN h ON h.symbol = i.symbol AND h.row = i.row GROUP BY ALL)"""
 
 
@@ -467,7 +469,7 @@ def replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = scored(spark, sf_dir).filter("split = 'test'").withColumn("row", F.row_number().over(Window.partitionBy("symbol").orderBy("row")) - 1)
     sizes = d.groupBy("symbol").agg(F.count("*").cast("int").alias("n"))
-    index = resample.formula_index(sizes, ["symbol"], 200)
+    index = resample.formula_index(sizes, ["symbol"], resample.REPLICATES)
     rows = resample.replicated(d, index, ["symbol"])
     return rows.groupBy("symbol", "replicate").agg(F.avg(F.abs(F.col("target") - F.col("prediction"))).alias("a"), F.avg(F.abs(F.col("target") - F.col("volatility_20d"))).alias("b"))
 
@@ -567,12 +569,10 @@ def segment_metrics(spark, sf_dir):
     return tidy(metrics.regression_metrics(d, ["symbol", "segment"]).select("symbol", "segment", "n", "mae", "rmse"), 5)
 
 
-@query("half_vote", _SCORED + f" SELECT symbol, date, {o.rounded('vote=ln((1 / (1 + exp(-score))) / (1 - 1 / (1 + exp(-score)))) * 3 / 4', 4)} FROM scored WHERE split = 'validation' AND score < 20")
+@query("half_vote", _SCORED + f" SELECT symbol, date, {o.rounded('vote=CASE WHEN score > 0 THEN ln(score / (1 + score) / (1 - score / (1 + score))) * 3 / 4 END', 4)} FROM scored WHERE split = 'validation'")
 def half_vote(spark, sf_dir):
-    from tidemark.functions.scalar import sigmoid
-
-    d = scored(spark, sf_dir).filter("split = 'validation' AND score < 20")
-    return tidy(d.select("symbol", "date", metrics.half_vote(sigmoid(F.col("score")), F.lit(3)).alias("vote")), 4)
+    d = scored(spark, sf_dir).filter("split = 'validation'")
+    return tidy(d.select("symbol", "date", metrics.half_vote(F.col("score") / (1 + F.col("score")), F.lit(3)).alias("vote")), 4)
 
 
 @query("align_clusters", _CLUSTERS + ", n AS (SELECT y AS a, cluster AS b, count(*) AS n FROM cl GROUP BY ALL) SELECT b::BIGINT AS b, arg_max(a, n * 10 - a)::BIGINT AS \"as\" FROM n GROUP BY b")
@@ -653,7 +653,7 @@ def model_selection(spark, sf_dir):
 @query("walk_forward")
 def walk_forward(spark, sf_dir):
     d = modeling_table(spark, sf_dir).filter("part = 'train'")
-    p = grid.walk_forward(d, grid.candidates(spark, {"logistic": {"rounds": [500]}, "decision_tree": {}}), X, splits.fold_plan(90))
+    p = grid.walk_forward(d, grid.candidates(spark, {"logistic": {"rounds": [500]}, "decision_tree": {}}), X)
     return metrics.rank_metrics(p.filter("score IS NOT NULL"), ["symbol", "model", "fold"])
 
 
