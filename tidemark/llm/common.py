@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -52,6 +53,12 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of tables that are written and no longer read: it does so when the driver's garbage goes."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release() -> None:
     """At a task's end: gives memory back to the system, since Python workers live on and executors' memory is shared."""
     pa.default_memory_pool().release_unused()

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, drop, mix, raw_texts, ship, table
+from tidemark.llm.common import cut, drop, mix, raw_texts, settle, ship, table
 
 DISCOUNT = 0.5
 #: 24 bits an entry and 12 probes: an absent n-gram is taken for a present one about once in 70,000 times.
@@ -221,7 +221,7 @@ def _gathered(batches, most: int) -> Iterator[list[list[bytes]]]:
         yield held
 
 
-def count_grams(docs: DataFrame, head, shards: int, flush: int = 1_000_000) -> DataFrame:
+def count_grams(docs: DataFrame, head, shards: int, flush: int = 600_000) -> DataFrame:
     """Partial counts: shard, and as arrays of 32 bits the keys, the names of their contexts, and the counts."""
 
     def run(batches):
@@ -261,7 +261,7 @@ def build_shards(partial: DataFrame, hot_names) -> DataFrame:
         is_hot = np.isin(contexts, hot)
         numbers = np.searchsorted(hot, contexts[is_hot])
         f = CountFilter.build(keys, q)
-        row = ([t["shard"][0].as_py()], [f.words.tobytes()], [contexts.astype(np.uint32).tobytes()], [weights.tobytes()], [types.astype(np.uint32).tobytes()], [numbers.tolist()], [weights[is_hot].tolist()], [types[is_hot].tolist()])
+        row = ([t["shard"][0].as_py()], [f.words.tobytes()], [contexts.astype(np.uint32).tobytes()], [weights.astype(np.float32).tobytes()], [types.astype(np.uint32).tobytes()], [numbers.tolist()], [weights[is_hot].tolist()], [types[is_hot].tolist()])
         kinds = (pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int64()))
         return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=[x.split()[0] for x in SHARD_SCHEMA.split(", ")])
 
@@ -303,7 +303,9 @@ def train(docs: DataFrame, head_size: int = 1 << 18, shard_tokens: int = SHARD_T
 
 
 REQUESTS = "chunk long, shard int, keys binary, names binary"
-ANSWERS = "chunk long, shard int, q binary, weights binary, types binary"
+ANSWERS = "chunk long, shard int, q binary, weights binary, shares binary"
+#: Steps in which a context's share of unseen tokens, D T / W, is told: so exactly the probabilities add up.
+SHARE_STEPS = 65535
 
 
 def _requests(g: Grams) -> list[tuple[int, bytes, bytes]]:
@@ -317,15 +319,15 @@ def _requests(g: Grams) -> list[tuple[int, bytes, bytes]]:
 
 
 def _answers(g: Grams, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of the bigrams and of the tail's tokens as they are read, and W and T of all distinct tokens as contexts."""
+    """Counts of the bigrams and of the tail's tokens as they are read, and W and D T / W of all distinct tokens as contexts."""
     answers = answers.sort_by("shard")
     homes, keys = g.keys()
     read = np.zeros(len(keys))
     read[_by_shard(homes)[0]] = rep(_array(answers["q"], np.uint8))
-    weights, types = np.zeros(len(g.distinct)), np.zeros(len(g.distinct))
+    weights, shares = np.zeros(len(g.distinct)), np.zeros(len(g.distinct))
     order = g.contexts[_by_shard(g.homes[g.contexts])[0]]
-    weights[order], types[order] = _array(answers["weights"], np.float64), _array(answers["types"], np.uint32)
-    return read, weights, types
+    weights[order], shares[order] = _array(answers["weights"], np.float32), _array(answers["shares"], np.uint16) / SHARE_STEPS
+    return read, weights, shares
 
 
 def answer(requests: DataFrame, shards: DataFrame) -> DataFrame:
@@ -333,19 +335,19 @@ def answer(requests: DataFrame, shards: DataFrame) -> DataFrame:
 
     def run(asked: pa.Table, shard: pa.Table) -> pa.Table:
         keys, names = _array(asked["keys"], np.uint32), _array(asked["names"], np.uint32)
-        q, weights, types = np.zeros(len(keys), np.uint8), np.zeros(len(names)), np.zeros(len(names), np.uint32)
+        q, weights, shares = np.zeros(len(keys), np.uint8), np.zeros(len(names), np.float32), np.zeros(len(names), np.uint16)
         if shard.num_rows and asked.num_rows:
             distinct, of = np.unique(keys, return_inverse=True)
             q = CountFilter(_array(shard["words"], np.uint64)).quanta(distinct)[of]
-            held, w, t = (_array(shard[c], k) for c, k in (("names", np.uint32), ("weights", np.float64), ("types", np.uint32)))
+            held, w, t = (_array(shard[c], k) for c, k in (("names", np.uint32), ("weights", np.float32), ("types", np.uint32)))
             if len(held):
                 at = np.minimum(np.searchsorted(held, names), len(held) - 1)
                 known = held[at] == names
-                weights[known], types[known] = w[at[known]], t[at[known]]
+                weights[known], shares[known] = w[at[known]], np.round(SHARE_STEPS * DISCOUNT * t[at[known]] / w[at[known]])
         a = np.cumsum([0, *[len(x) // 4 for x in asked["keys"].to_pylist()]])
         b = np.cumsum([0, *[len(x) // 4 for x in asked["names"].to_pylist()]])
-        columns = [asked["chunk"], asked["shard"], pa.array([q[i:j].tobytes() for i, j in zip(a, a[1:])], pa.binary()), *[pa.array([x[i:j].tobytes() for i, j in zip(b, b[1:])], pa.binary()) for x in (weights, types)]]
-        return pa.Table.from_arrays(columns, names=["chunk", "shard", "q", "weights", "types"])
+        columns = [asked["chunk"], asked["shard"], pa.array([q[i:j].tobytes() for i, j in zip(a, a[1:])], pa.binary()), *[pa.array([x[i:j].tobytes() for i, j in zip(b, b[1:])], pa.binary()) for x in (weights, shares)]]
+        return pa.Table.from_arrays(columns, names=["chunk", "shard", "q", "weights", "shares"])
 
     return requests.groupBy("shard").cogroup(shards.select("shard", "words", "names", "weights", "types").groupBy("shard")).applyInArrow(run, ANSWERS)
 
@@ -357,10 +359,10 @@ def score_chunk(m: Model, texts: list[list[bytes]], answers: pa.Table) -> list[t
     """For each text's tokens (one at least): their number, known head tokens, these ones' part of the base score, log10
     probability, and the other tokens."""
     g = Grams(texts, m.head, m.shard_count)
-    read, weights, types = _answers(g, answers)
+    read, weights, shares = _answers(g, answers)
     if g.hot.any():
         at = np.searchsorted(m.hot_names, g.names[g.hot])
-        weights[g.hot], types[g.hot] = m.hot_weights[at], m.hot_types[at]
+        weights[g.hot], shares[g.hot] = m.hot_weights[at], DISCOUNT * m.hot_types[at] / np.maximum(m.hot_weights[at], 1)
     inside = g.ids >= 0
     exact = np.where(inside, m.head.counts[np.maximum(g.ids, 0)] if len(m.head.counts) else 0, 0).astype(float)
     c = exact.copy()
@@ -370,7 +372,7 @@ def score_chunk(m: Model, texts: list[list[bytes]], answers: pa.Table) -> list[t
     seen = w > 0
     p = single[g.code]
     pair = read[: len(g.pair_keys)][g.pair_of]
-    p[seen] = np.maximum(pair[seen] - DISCOUNT, 0) / w[seen] + DISCOUNT * types[g.before][seen] / w[seen] * p[seen]
+    p[seen] = np.maximum(pair[seen] - DISCOUNT, 0) / w[seen] + shares[g.before][seen] * p[seen]
     base, known = np.log10(exact + 1)[g.code], inside[g.code]
     at = g.starts[:-1]
     outside = np.flatnonzero(~known)
@@ -386,6 +388,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, head_
     ship(spark)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", modulus, remainder).alias("held_out"), F.col("text").cast("string").alias("text"))
     counts, model, least, shards = train(marked.filter(~F.col("held_out")), head_size, shard_tokens)
+    settle(spark)
     shared = spark.sparkContext.broadcast(model)
     chunks = 1 + int(1.2 * model.n) // chunk_tokens
     # by row, not by text: copies of one text are dealt over all chunks
@@ -410,6 +413,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, head_
     answers = answer(dealt.groupBy("chunk").applyInArrow(ask, REQUESTS), shards)
     scored = cut(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, SCORED), "lm-scored")
     drop(shards)
+    settle(spark)
     others = scored.select("row", F.explode(F.arrays_zip("token", "tf")).alias("x")).select("row", "x.token", "x.tf")
     found = others.join(counts.filter(_bucket(F.col("c")) < least), "token").groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("base"), F.sum("tf").alias("known"))
     per_token = float(np.log10(model.n + model.v + 1))
