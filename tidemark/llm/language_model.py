@@ -34,6 +34,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -302,6 +303,51 @@ def train(docs: DataFrame, head_size: int = 1 << 18, shard_tokens: int = SHARD_T
     return counts, Model(head, n or 0, v, read, shard_count, hot_names, weights, types), least, shards
 
 
+PACKS = "chunk long, row long, doc_id array<long>, held_out array<boolean>, sizes array<int>, texts binary"
+
+
+def pack(docs: DataFrame, chunks: int, size: int = 1 << 15) -> DataFrame:
+    """Rows (doc_id, held_out, text) in packs of about `size` bytes of consecutive texts, compressed, since texts are most of
+    what scoring shuffles. A pack's chunk comes from its place, not from its texts: copies of one text are dealt over all chunks.
+    row numbers the first text; the others follow."""
+
+    def run(batches):
+        first = row = TaskContext.get().partitionId() << 33
+        held, total = [], 0
+
+        def out():
+            ids, marks, texts = zip(*held)
+            chunk = int(mix(np.array([first], np.uint64))[0] % np.uint64(chunks))
+            columns = (pa.array([chunk], pa.int64()), pa.array([first], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([marks], pa.list_(pa.bool_())), pa.array([[len(x) for x in texts]], pa.list_(pa.int32())), pa.array([pa.compress(b"".join(texts), "zstd", asbytes=True)], pa.binary()))
+            return pa.RecordBatch.from_arrays(list(columns), [x.split()[0] for x in PACKS.split(", ")])
+
+        for b in batches:
+            for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw_texts(b)):
+                held.append(x)
+                row += 1
+                total += len(x[2]) + 64  # rows without text count too
+                if total >= size:
+                    yield out()
+                    held, total, first = [], 0, row
+        if held:
+            yield out()
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, PACKS)
+
+
+def unpack(t: pa.Table) -> tuple[list[int], list[int | None], list[bool], list[list[bytes]]]:
+    """row, doc_id, held_out and tokens of the texts of a chunk's packs, in the order of their rows."""
+    rows, ids, marks, out = [], [], [], []
+    for p in t.sort_by("row").to_pylist():
+        data = pa.decompress(p["texts"], sum(p["sizes"]), "zstd", asbytes=True)
+        ends = np.cumsum([0, *p["sizes"]]).tolist()
+        rows += range(p["row"], p["row"] + len(p["sizes"]))
+        ids += p["doc_id"]
+        marks += p["held_out"]
+        out += [tokens(data[i:j]) for i, j in zip(ends, ends[1:])]
+    return rows, ids, marks, out
+
+
 REQUESTS = "chunk long, shard int, keys binary, names binary"
 ANSWERS = "chunk long, shard int, q binary, weights binary, shares binary"
 #: Steps in which a context's share of unseen tokens, D T / W, is told: so exactly the probabilities add up.
@@ -391,24 +437,20 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, head_
     settle(spark)
     shared = spark.sparkContext.broadcast(model)
     chunks = 1 + int(1.2 * model.n) // chunk_tokens
-    # by row, not by text: copies of one text are dealt over all chunks
-    dealt = marked.withColumn("row", F.monotonically_increasing_id()).withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks))).select("chunk", "row", "doc_id", "held_out", "text")
-
-    def in_order(t: pa.Table) -> pa.Table:
-        return t.sort_by("row")
+    dealt = pack(marked, chunks)
 
     def ask(t: pa.Table) -> pa.Table:
         m: Model = shared.value
-        rows = _requests(Grams([tokens(x or b"") for x in in_order(t)["text"].cast(pa.binary()).to_pylist()], m.head, m.shard_count))
+        rows = _requests(Grams(unpack(t)[3], m.head, m.shard_count))
         made = [pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))]
         return pa.Table.from_arrays([pa.array([t["chunk"][0].as_py()] * len(rows), pa.int64()), *made], names=["chunk", "shard", "keys", "names"])
 
     def score(t: pa.Table, answers: pa.Table) -> pa.Table:
-        t = in_order(t)
-        got = score_chunk(shared.value, [tokens(x or b"") for x in t["text"].cast(pa.binary()).to_pylist()], answers) if t.num_rows else []
+        rows, ids, marks, texts = unpack(t)
+        got = score_chunk(shared.value, texts, answers) if texts else []
         n, known, base, p, others = zip(*got) if got else [[]] * 5
         columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(p, pa.float64()), pa.array([[w.decode() for w in o] for o in others], pa.list_(pa.string())), pa.array([list(o.values()) for o in others], pa.list_(pa.int32()))]
-        return pa.Table.from_arrays([t["row"], t["doc_id"], t["held_out"], *columns], names=[x.split()[0] for x in SCORED.split(", ")])
+        return pa.Table.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(marks, pa.bool_()), *columns], names=[x.split()[0] for x in SCORED.split(", ")])
 
     answers = answer(dealt.groupBy("chunk").applyInArrow(ask, REQUESTS), shards)
     scored = cut(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, SCORED), "lm-scored")
