@@ -102,6 +102,21 @@ def test_filter_reads_counts_back():
     assert language_model.quanta_of(np.array([1, 2, 3, 4, 7, 8])).tolist() == [1, 2, 2, 3, 3, 4]
 
 
+@pytest.mark.parametrize("size", [1, 300, 1 << 20])
+def test_packs_hold_every_row_once(spark, size):
+    texts = ["", None, "a b", "é 日本 x", "w " * 5000, None, "a b", "", "z"]
+    rows = [(None if i == 3 else i, i % 2 == 0, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, held_out boolean, text string").repartition(2)
+    packs = language_model.pack(docs, 3, size).toArrow()
+    assert set(packs["chunk"].to_pylist()) <= {0, 1, 2}
+    numbers, ids, marks, words = language_model.unpack(packs)
+    assert numbers == sorted(set(numbers))
+    key = lambda x: (x[0] is None, x[0] or 0)
+    got = sorted(zip(ids, marks, words), key=key)
+    assert got == sorted(((d, m, language_model.tokens((t or "").encode())) for d, m, t in rows), key=key)
+    assert language_model.pack(docs.limit(0), 3, size).count() == 0
+
+
 def test_language_model_without_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert language_model.score_documents(none).count() == 0
