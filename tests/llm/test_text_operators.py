@@ -1,6 +1,7 @@
 """Operators on single texts against plain versions: licences, quality rules, SentencePiece, packing, URL filters."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -145,6 +146,28 @@ def test_licenses_match_brute_force(spark, sample):
     assert license_scan.scan_licenses(d.limit(0)).count() == 0
 
 
+def test_license_labels_match_brute_force(spark, sample):
+    full = [t for t, *_ in license_scan.TEMPLATES]
+    cut = [" ".join(w for i, w in enumerate(t.split()) if i % 3 or i < 9) for t in full]
+    texts = [*sample[:40], *full, *cut, " ".join(full), "x " * 700 + full[6], "mit license " * 300, "license " * 2000, "", None]
+    words = [re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").lower()) for t in texts]
+    templates = [(p.split(), p.split(), label) for p, label in license_scan.BASE] + [(t.split(), k.split(), label) for t, k, label in license_scan.TEMPLATES]
+    idf = {w: math.log((len(texts) + 1) / (sum(w in x for x in words) + 1)) + 0.01 for t, *_ in templates for w in t}
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, x in enumerate(words):
+        labels, best = set(), 0.0
+        for t, key, label in templates:
+            k = next(j for j in range(len(t)) if t[j : j + len(key)] == key)
+            for at in range(len(x)):
+                if x[at : at + len(key)] == key:
+                    share = sum(idf[w] for j, w in enumerate(t) if 0 <= at - k + j < len(x) and x[at - k + j] == w) / sum(idf[w] for w in t)
+                    if share >= license_scan.MIN_SCORE:
+                        labels.add(label)
+                        best = max(best, min(1.0, share))
+        assert got[i].labels == ",".join(sorted(labels)), texts[i]
+        assert got[i].score == pytest.approx(best, abs=2e-6)
+
+
 # --- quality rules
 
 
