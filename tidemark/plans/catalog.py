@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.models import grid, native
-from tidemark.operators import clean, features, metrics, reports, resample, spikes, splits
+from tidemark.operators import checks, clean, features, metrics, reports, resample, spikes, splits
 from tidemark.plans import oracle as o
 from tidemark.runtime import read_table, ship
 from tidemark.schema import FEATURES, LABEL, TARGET
@@ -88,7 +88,7 @@ def bars_orders(spark, sf_dir):
     return tidy(bars.order_bars(spark, sf_dir))
 
 
-@query("profile_bars", o.bars("orders") + " SELECT count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date, 0::BIGINT AS n_repeated_dates, 0::BIGINT AS n_missing_cells FROM bars")
+@query("profile_bars", o.bars("orders") + " SELECT count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date, count(date) - count(DISTINCT (symbol, date)) AS n_repeated_dates, sum((open IS NULL)::INT + (high IS NULL)::INT + (low IS NULL)::INT + (close IS NULL)::INT + (volume IS NULL)::INT)::BIGINT AS n_missing_cells FROM bars")
 def profile_bars(spark, sf_dir):
     return tidy(bars.profile(bars.order_bars(spark, sf_dir)).drop("checksum"))
 
@@ -111,7 +111,7 @@ def feature_report(spark, sf_dir):
     return tidy(features.feature_report(event_features(spark, sf_dir)), 5)
 
 
-@query("missing_counts", o.features("events") + f" SELECT symbol, feature, count(*) FILTER (x IS NULL) AS n_missing, 0::BIGINT AS n_plus_inf, 0::BIGINT AS n_minus_inf FROM (SELECT * FROM (SELECT symbol, {', '.join([*X, TARGET])} FROM features) UNPIVOT INCLUDE NULLS (x FOR feature IN ({', '.join([*X, TARGET])}))) GROUP BY ALL")
+@query("missing_counts", o.features("events") + f" SELECT symbol, feature, count(*) FILTER (x IS NULL) AS n_missing, count(*) FILTER (x = 'inf'::DOUBLE) AS n_plus_inf, count(*) FILTER (x = '-inf'::DOUBLE) AS n_minus_inf FROM (SELECT * FROM (SELECT symbol, {', '.join([*X, TARGET])} FROM features) UNPIVOT INCLUDE NULLS (x FOR feature IN ({', '.join([*X, TARGET])}))) GROUP BY ALL")
 def missing_counts(spark, sf_dir):
     return tidy(splits.missing_counts(event_features(spark, sf_dir)))
 
@@ -159,7 +159,8 @@ def label_threshold(spark, sf_dir):
     return tidy(splits.threshold(d))
 
 
-@query("split_violations", o.labeled("events") + " SELECT DISTINCT symbol, 0::BIGINT AS n_overlaps, 0::BIGINT AS n_label_mismatch, count(*) FILTER (target_volatility_5d = threshold AND split IN ('train', 'validation', 'test')) OVER (PARTITION BY symbol) AS n_at_threshold, 0::BIGINT AS n_shared_dates FROM labeled")
+@query("split_violations", o.labeled("events") + """ SELECT symbol, ((max(date) FILTER (split = 'train') >= min(date) FILTER (split = 'validation'))::INT + (max(date) FILTER (split = 'validation') >= min(date) FILTER (split = 'test'))::INT)::BIGINT AS n_overlaps,
+  count(*) FILTER ((target_volatility_5d > threshold)::INT <> target_high_volatility) AS n_label_mismatch, count(*) FILTER (target_volatility_5d = threshold) AS n_at_threshold, count(*) - count(DISTINCT date) AS n_shared_dates FROM labeled WHERE split IN ('train', 'validation', 'test') GROUP BY symbol""")
 def split_violations(spark, sf_dir):
     return tidy(splits.split_violations(event_labels(spark, sf_dir)))
 
@@ -178,23 +179,37 @@ def fold_rows(spark, sf_dir):
     return tidy(d.groupBy("symbol", "fold", "part").agg(F.count("*").alias("n_rows")))
 
 
-_DIRTY = """, raw AS (SELECT symbol, strftime(date, '%Y-%m-%d') AS date, open, high, low, close, volume, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM bars),
-dirty AS (SELECT symbol, CASE WHEN k % 97 = 0 THEN 'bad' ELSE date END AS date, CASE WHEN k % 89 = 0 THEN -open ELSE open END AS open, CASE WHEN k % 83 = 0 THEN low - 1 ELSE high END AS high, low, CASE WHEN k % 79 = 0 THEN NULL ELSE close END AS close, CASE WHEN k % 73 = 0 THEN -1 WHEN k % 71 = 0 THEN 0 ELSE volume END AS volume, k FROM raw
-  UNION ALL SELECT symbol, date, open, high, low, close, volume, k FROM raw WHERE k % 67 = 0 AND k % 97 <> 0 AND k % 89 <> 0 AND k % 83 <> 0 AND k % 79 <> 0 AND k % 73 <> 0 AND k % 71 <> 0),
-marked AS (SELECT *, row_number() OVER (PARTITION BY symbol, date, open, high, low, close, volume) AS copy FROM dirty),
-ruled AS (SELECT *, CASE WHEN date = 'bad' THEN 'invalid_date' WHEN copy > 1 THEN 'exact_duplicate' WHEN close IS NULL THEN 'missing_value' WHEN least(open, high, low, close) <= 0 THEN 'nonpositive_price' WHEN high < low OR open > high OR open < low THEN 'impossible_range' WHEN volume < 0 THEN 'negative_volume' END AS rule FROM marked)"""
+#: Which rows (numbered by date) have which fault; cells that aren't numbers by column.
+BAD_CELLS = {"open": 53, "high": 47, "low": 43, "close": 41, "volume": 61}
+FAULTS = (97, 89, 83, 79, 73, 71, *BAD_CELLS.values())
+_SOUND = " AND ".join(f"k % {n} <> 0" for n in FAULTS)
+_NO_BAD = ", ".join(f"false AS bad_{c}" for c in clean.VALUES)
+_DIRTY = f""", raw AS (SELECT symbol, strftime(date, '%Y-%m-%d') AS date, open, high, low, close, volume, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM bars),
+dirty AS (SELECT symbol, CASE WHEN k % 97 = 0 THEN 'bad' ELSE date END AS date, CASE WHEN k % 53 = 0 THEN NULL WHEN k % 89 = 0 THEN -open ELSE open END AS open, CASE WHEN k % 47 = 0 THEN NULL WHEN k % 83 = 0 THEN low - 1 ELSE high END AS high, CASE WHEN k % 43 <> 0 THEN low END AS low,
+  CASE WHEN k % 79 <> 0 AND k % 41 <> 0 THEN close END AS close, CASE WHEN k % 61 = 0 THEN NULL WHEN k % 73 = 0 THEN -1 WHEN k % 71 = 0 THEN 0 ELSE volume END AS volume, {', '.join(f'k % {n} = 0 AS bad_{c}' for c, n in BAD_CELLS.items())} FROM raw
+  UNION ALL SELECT symbol, date, open, high, low, close, volume, {_NO_BAD} FROM raw WHERE k % 67 = 0 AND {_SOUND}
+  UNION ALL SELECT symbol, date, open, high, low, close, volume + 1, {_NO_BAD} FROM raw WHERE k % 59 = 0 AND k % 67 <> 0 AND {_SOUND}),
+variety AS (SELECT symbol, date, count(*) AS n_values FROM (SELECT DISTINCT symbol, date, open, high, low, close, volume FROM dirty) GROUP BY ALL),
+marked AS (SELECT *, row_number() OVER (PARTITION BY symbol, date, open, high, low, close, volume) AS copy FROM dirty JOIN variety USING (symbol, date)),
+ruled AS (SELECT *, CASE WHEN date = 'bad' THEN 'invalid_date' WHEN copy > 1 THEN 'exact_duplicate' WHEN n_values > 1 THEN 'duplicate_date' WHEN open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR volume IS NULL THEN 'missing_value'
+  WHEN least(open, high, low, close) <= 0 THEN 'nonpositive_price' WHEN high < low OR open > high OR open < low THEN 'impossible_range' WHEN volume < 0 THEN 'negative_volume' END AS rule FROM marked)"""
 
 
 def dirty_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of `orders` as text, with faults at fixed rows."""
+    """Daily bars of `orders` as text, with faults of every rule at fixed rows."""
+    from functools import reduce
+
     from pyspark.sql import Window
 
     d = bars.order_bars(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy("date"))).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
     k = lambda n: F.col("k") % n == 0
     broken = d.withColumns({"date": F.when(k(97), "bad").otherwise(F.col("date")), "open": F.when(k(89), -F.col("open")).otherwise(F.col("open")), "high": F.when(k(83), F.col("low") - 1).otherwise(F.col("high")), "close": F.when(~k(79), F.col("close")), "volume": F.when(k(73), -1.0).when(k(71), 0.0).otherwise(F.col("volume"))})
-    twice = d.filter(k(67) & ~k(97) & ~k(89) & ~k(83) & ~k(79) & ~k(73) & ~k(71))
-    both = broken.unionByName(twice).drop("k")
-    return both.select("symbol", "date", *[F.col(c).cast("string").alias(c) for c in clean.VALUES])
+    text = [F.col(c).cast("string").alias(c) for c in clean.VALUES]
+    broken = broken.select("symbol", "date", *[F.when(k(BAD_CELLS[c]), "n/a").otherwise(F.col(c).cast("string")).alias(c) for c in clean.VALUES])
+    sound = d.filter(reduce(lambda a, b: a & b, [~k(n) for n in FAULTS]))
+    twice = sound.filter(k(67)).select("symbol", "date", *text)
+    other = sound.filter(k(59) & ~k(67)).withColumn("volume", F.col("volume") + 1).select("symbol", "date", *text)
+    return broken.unionByName(twice).unionByName(other)
 
 
 @query("clean_rows", o.bars("orders") + _DIRTY + f" SELECT symbol, strptime(date, '%Y-%m-%d')::DATE AS date, {_BAR_COLUMNS} FROM ruled WHERE rule IS NULL")
@@ -202,18 +217,18 @@ def clean_rows(spark, sf_dir):
     return tidy(clean.clean(dirty_rows(spark, sf_dir), fail_on_conflict=False))
 
 
-@query("cleaning_report", o.bars("orders") + _DIRTY + f""" SELECT symbol, count(*) AS rows_before, count(*) FILTER (rule IS NULL) AS rows_after, {', '.join(f"count(*) FILTER (rule = '{r}') AS {r}" for r in clean.RULES)}, {', '.join(f'0::BIGINT AS nonnumeric_{c}' for c in clean.VALUES)},
+@query("cleaning_report", o.bars("orders") + _DIRTY + f""" SELECT symbol, count(*) AS rows_before, count(*) FILTER (rule IS NULL) AS rows_after, {', '.join(f"count(*) FILTER (rule = '{r}') AS {r}" for r in clean.RULES)}, {', '.join(f'count(*) FILTER (bad_{c}) AS nonnumeric_{c}' for c in clean.VALUES)},
   count(*) FILTER (rule IS NULL AND volume = 0) AS zero_volume, min(date::DATE) FILTER (rule IS NULL) AS first_date, max(date::DATE) FILTER (rule IS NULL) AS last_date FROM (SELECT * REPLACE (CASE WHEN date <> 'bad' THEN date END AS date) FROM ruled) GROUP BY symbol""")
 def cleaning_report(spark, sf_dir):
     return tidy(clean.cleaning_report(clean.mark_rows(dirty_rows(spark, sf_dir))))
 
 
-@query("contract_violations", o.bars("events") + " SELECT symbol, 0::BIGINT AS n_null, 0::BIGINT AS n_repeated, count(*) FILTER (least(open, high, low, close) <= 0 OR high < low OR open NOT BETWEEN low AND high OR volume < 0) AS n_impossible FROM bars GROUP BY symbol")
+@query("contract_violations", o.bars("events") + " SELECT symbol, count(*) FILTER (date IS NULL OR open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR volume IS NULL) AS n_null, count(*) - count(DISTINCT date) AS n_repeated, count(*) FILTER (least(open, high, low, close) <= 0 OR high < low OR open NOT BETWEEN low AND high OR volume < 0) AS n_impossible FROM bars GROUP BY symbol")
 def contract_violations(spark, sf_dir):
     return tidy(clean.contract_violations(bars.event_bars(spark, sf_dir)))
 
 
-@query("newer_rows", o.bars("orders") + ", last AS (SELECT symbol, max(date) AS last FROM bars WHERE year(date) < 1997 GROUP BY symbol) SELECT symbol, count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date FROM bars GROUP BY symbol")
+@query("newer_rows", o.bars("orders") + ", last AS (SELECT symbol, max(date) AS last FROM bars WHERE year(date) < 1997 GROUP BY symbol) SELECT symbol, count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date FROM (SELECT symbol, date FROM bars WHERE year(date) < 1997 UNION ALL SELECT symbol, date FROM bars LEFT JOIN last USING (symbol) WHERE last IS NULL OR date > last) GROUP BY symbol")
 def newer_rows(spark, sf_dir):
     d = bars.order_bars(spark, sf_dir)
     return splits.newer_rows(d.filter(F.year("date") < 1997), d).groupBy("symbol").agg(F.count("*").alias("n_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
@@ -396,40 +411,47 @@ def simple_linear(spark, sf_dir):
     return tidy(native.fit_simple_linear(event_labels(spark, sf_dir), "volatility_5d", TARGET), 5)
 
 
-@query("least_squares")
+_FIT = "symbol, count(*) AS n, " + o.rounded("mae=avg(abs(e)); rmse=sqrt(avg(e ** 2)); r2=1 - avg(e ** 2) / nullif(var_pop(t), 0)", 4) + ", count(*) FILTER (t - e < 0) AS n_negative"
+
+
+def fit_quality(p: DataFrame) -> DataFrame:
+    return tidy(metrics.regression_metrics(p, ["symbol"], TARGET).select("symbol", "n", "mae", "rmse", "r2", "n_negative"), 4)  # a forecast far off has a squared error of more digits than a double's
+
+
+@query("least_squares", o.labeled("events") + o.residuals("labeled", X, TARGET) + f" SELECT {_FIT} FROM residuals WHERE split = 'validation' GROUP BY symbol")
 def least_squares(spark, sf_dir):
     d = event_labels(spark, sf_dir)
-    p = native.predict_linear(d, native.fit_least_squares(d, X, TARGET), X).filter("split = 'validation'")
-    return metrics.regression_metrics(p, ["symbol"], TARGET)
+    return fit_quality(native.predict_linear(d, native.fit_least_squares(d, X, TARGET), X).filter("split = 'validation'"))
 
 
-@query("polynomial")
+@query("polynomial", o.labeled("events") + """, zs AS (SELECT symbol, split, target_volatility_5d, (volatility_20d - avg(volatility_20d) FILTER (split = 'train') OVER p) / stddev_pop(volatility_20d) FILTER (split = 'train') OVER p AS z1 FROM labeled WINDOW p AS (PARTITION BY symbol)),
+powers AS (SELECT *, z1 ** 2 AS z2, z1 ** 3 AS z3 FROM zs)""" + o.residuals("powers", ["z1", "z2", "z3"], TARGET) + f" SELECT {_FIT} FROM residuals WHERE split = 'validation' GROUP BY symbol")
 def polynomial(spark, sf_dir):
     d = event_labels(spark, sf_dir)
     z = native.with_powers(native.scale(d, native.fit_scaler(d, ["volatility_20d"]), ["volatility_20d"]), "volatility_20d", 3)
     columns = ["volatility_20d", "volatility_20d__2", "volatility_20d__3"]
-    p = native.predict_linear(z, native.fit_least_squares(z, columns, TARGET), columns).filter("split = 'validation'")
-    return metrics.regression_metrics(p, ["symbol"], TARGET)
+    return fit_quality(native.predict_linear(z, native.fit_least_squares(z, columns, TARGET), columns).filter("split = 'validation'"))
 
 
-@query("elastic_net")
+@query("elastic_net", o.labeled("events") + o.elastic_net("labeled", X, TARGET, 0.05, 0.5) + f" SELECT {_FIT} FROM residuals WHERE split = 'validation' GROUP BY symbol")
 def elastic_net(spark, sf_dir):
     d = event_labels(spark, sf_dir)
     z = native.scale(d, native.fit_scaler(d, X), X)
-    p = native.predict_linear(z, native.fit_elastic_net(z, X, TARGET, 0.05, 0.5), X).filter("split = 'validation'")
-    return metrics.regression_metrics(p, ["symbol"], TARGET)
+    return fit_quality(native.predict_linear(z, native.fit_elastic_net(z, X, TARGET, 0.05, 0.5), X).filter("split = 'validation'"))
 
 
 HAR = ["har_d", "har_w", "har_m"]
 
 
-@query("log_har")
+# one series: its own least-squares weights are the pooled prior, and shrinking to them changes nothing
+@query("log_har", o.labeled("lineitem") + """, har AS (SELECT symbol, split, target_volatility_5d AS t, ln(target_volatility_5d) AS log_target, ln(greatest(abs(return_1d) * sqrt(252), 0.01)) AS har_d, ln(volatility_5d) AS har_w, ln(volatility_20d) AS har_m FROM labeled WHERE target_volatility_5d > 0 AND volatility_5d > 0 AND volatility_20d > 0)"""
+  + o.residuals("har", HAR, "log_target", "t AS target") + f", spread AS (SELECT symbol, var_samp(e) AS s2 FROM residuals WHERE split = 'train' GROUP BY symbol) SELECT {_FIT} FROM (SELECT symbol, target AS t, target - exp(t - e + s2 / 2) AS e FROM residuals JOIN spread USING (symbol) WHERE split = 'validation') GROUP BY symbol")
 def log_har(spark, sf_dir):
     d = features.har_features(event_labels(spark, sf_dir, bars.lineitem_bars)).withColumn("log_target", F.when(F.col(TARGET) > 0, F.log(TARGET)))
     p = native.predict_linear(d, native.fit_ridge_to_prior(d, HAR, "log_target", 0.1, native.pooled_prior(d, HAR, "log_target")), HAR, "mu")
     s2 = p.filter("split = 'train'").groupBy("symbol").agg(F.var_samp(F.col("log_target") - F.col("mu")).alias("s2"))
     p = p.join(s2, "symbol").withColumn("prediction", native.lognormal_mean(F.col("mu"), F.col("s2"))).filter("split = 'validation'")
-    return metrics.regression_metrics(p, ["symbol"], TARGET)
+    return fit_quality(p)
 
 
 @query("principal_components")
@@ -569,6 +591,55 @@ def segment_metrics(spark, sf_dir):
     return tidy(metrics.regression_metrics(d, ["symbol", "segment"]).select("symbol", "segment", "n", "mae", "rmse"), 5)
 
 
+_TWO_RUNS = _SCORED + """, a AS (SELECT symbol, date, target, prediction FROM scored WHERE split = 'validation' AND row % 17 <> 0),
+b AS (SELECT symbol, date, CASE WHEN row % 13 = 0 THEN target + 1 ELSE target END AS target, volatility_20d AS prediction FROM scored WHERE split = 'validation' AND row % 19 <> 0)"""
+
+
+def two_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two forecasts of the validation rows which disagree on some rows and targets."""
+    d = scored(spark, sf_dir).filter("split = 'validation'")
+    a = d.filter("row % 17 <> 0").select("symbol", "date", "target", "prediction")
+    b = d.filter("row % 19 <> 0").select("symbol", "date", F.when(F.col("row") % 13 == 0, F.col("target") + 1).otherwise(F.col("target")).alias("target"), F.col("volatility_20d").alias("prediction"))
+    return a, b
+
+
+@query("misaligned", _TWO_RUNS + """ SELECT symbol, date, CASE WHEN a.date IS NULL THEN 'only_second' WHEN b.date IS NULL THEN 'only_first' ELSE 'target' END AS reason
+  FROM (SELECT symbol, date, target FROM a) a FULL JOIN (SELECT symbol, date, target FROM b) b USING (symbol, date) WHERE a.target IS DISTINCT FROM b.target""")
+def misaligned(spark, sf_dir):
+    return checks.misaligned(*two_runs(spark, sf_dir), ["symbol", "date"], "target")
+
+
+@query("paired_violations", _SCORED + """, p AS (SELECT symbol, target AS y, CASE WHEN row % 11 = 0 THEN NULL WHEN row % 7 = 0 THEN 'nan'::DOUBLE ELSE prediction END AS p FROM scored)
+SELECT symbol, count(*) AS n, count(*) FILTER (y IS NULL OR p IS NULL) AS n_null, count(*) FILTER (isnan(y) OR isinf(y) OR isnan(p) OR isinf(p)) AS n_not_finite FROM p GROUP BY symbol""")
+def paired_violations(spark, sf_dir):
+    d = scored(spark, sf_dir).withColumn("prediction", F.when(F.col("row") % 11 == 0, F.lit(None)).when(F.col("row") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("prediction")))
+    return checks.paired_violations(d, ["symbol"], "target", "prediction")
+
+
+@query("parity", _TWO_RUNS + """ SELECT symbol, count(*) AS n, count(*) FILTER (abs(a.prediction - b.prediction) > 1e-8 + 0.5::DOUBLE * abs(b.prediction)) AS n_differ, round(max(abs(a.prediction - b.prediction)), 5) AS largest, count(*) FILTER (abs(a.prediction - b.prediction) > 1e-8 + 0.5::DOUBLE * abs(b.prediction)) = 0 AS same FROM a JOIN b USING (symbol, date) GROUP BY symbol""")
+def parity(spark, sf_dir):
+    a, b = two_runs(spark, sf_dir)
+    return tidy(checks.parity(a, b, ["symbol", "date"], ["symbol"], "prediction", rtol=0.5, atol=1e-8), 5)
+
+
+@query("split_contract", o.labeled("events") + """, b AS (SELECT symbol, split, count(*) AS n, min(row) AS lo, max(row) AS hi, min(date) AS first_date, max(date) AS last_date FROM labeled GROUP BY ALL),
+n AS (SELECT *, CASE split WHEN 'train' THEN 0 WHEN 'gap1' THEN 1 WHEN 'validation' THEN 2 WHEN 'gap2' THEN 3 ELSE 4 END AS place FROM b),
+l AS (SELECT *, lag(hi) OVER w AS before, lag(last_date) OVER w AS date_before FROM n WINDOW w AS (PARTITION BY symbol ORDER BY place))
+SELECT symbol, split, n AS n_rows, hi - lo + 1 = n AS contiguous, coalesce(lo = before + 1, lo = 0) AS follows, coalesce(first_date > date_before, true) AS later, split NOT LIKE 'gap%' OR n = 5 AS gap_ok FROM l""")
+def split_contract(spark, sf_dir):
+    return tidy(checks.split_contract(event_labels(spark, sf_dir)))
+
+
+@query("fold_spread", _SCORED + """, f AS (SELECT symbol, target, prediction, row, ntile(3) OVER (PARTITION BY symbol ORDER BY row) AS fold FROM scored WHERE split = 'validation'), m AS (SELECT symbol, fold, avg(abs(target - prediction)) AS v FROM f GROUP BY ALL), a AS (SELECT symbol, avg(abs(target - prediction)) AS v FROM f GROUP BY symbol)
+SELECT a.symbol, round(max(m.v) FILTER (fold = 1), 5) AS fold_1, round(max(m.v) FILTER (fold = 2), 5) AS fold_2, round(max(m.v) FILTER (fold = 3), 5) AS fold_3, round(any_value(a.v), 5) AS pooled, round(max(m.v) - min(m.v), 5) AS spread FROM a LEFT JOIN m USING (symbol) GROUP BY a.symbol""")
+def fold_spread(spark, sf_dir):
+    from pyspark.sql import Window
+
+    d = scored(spark, sf_dir).filter("split = 'validation'").withColumn("fold", F.ntile(3).over(Window.partitionBy("symbol").orderBy("row")))
+    error = F.avg(F.abs(F.col("target") - F.col("prediction"))).alias("v")
+    return tidy(checks.fold_spread(d.groupBy("symbol", "fold").agg(error), d.groupBy("symbol").agg(error), ["symbol"], "v", [1, 2, 3]), 5)
+
+
 @query("half_vote", _SCORED + f" SELECT symbol, date, {o.rounded('vote=CASE WHEN score > 0 THEN ln(score / (1 + score) / (1 - score / (1 + score))) * 3 / 4 END', 4)} FROM scored WHERE split = 'validation'")
 def half_vote(spark, sf_dir):
     d = scored(spark, sf_dir).filter("split = 'validation'")
@@ -608,7 +679,7 @@ def payload_rows(spark, sf_dir):
     return tidy(bars.payload_rows(p.select("payload")), 4)
 
 
-@query("row_violations", o.bars("orders") + ", p AS (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY close, date) AS place FROM bars), q AS (SELECT *, lag(date) OVER (PARTITION BY symbol ORDER BY place) AS before FROM p) SELECT symbol, 0::BIGINT AS n_repeated, count(*) FILTER (date >= before) AS n_out_of_order, 0::BIGINT AS n_blank FROM q GROUP BY symbol")
+@query("row_violations", o.bars("orders") + ", p AS (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY close, date) AS place FROM bars), q AS (SELECT *, lag(date) OVER (PARTITION BY symbol ORDER BY place) AS before FROM p) SELECT symbol, count(date) - count(DISTINCT date) AS n_repeated, count(*) FILTER (date >= before) AS n_out_of_order, 0::BIGINT AS n_blank FROM q GROUP BY symbol")
 def row_violations(spark, sf_dir):
     from pyspark.sql import Window
 

@@ -56,6 +56,37 @@ def spikes(source: str) -> str:
     return labeled(source) + _SPIKES
 
 
+def residuals(table: str, columns: list[str], y: str, more: str = "") -> str:
+    """CTEs up to `residuals` (symbol, split, t, e): y less its least-squares forecast from the training rows, for all rows. Each
+    step takes one column's part out of the columns after it and out of y."""
+    part = "PARTITION BY symbol"
+    of_train = lambda x: f"{x} FILTER (split = 'train') OVER ({part})"
+    names = [f"x{i}" for i in range(len(columns))]
+    keep = "symbol, split, t" + ", target" * bool(more)
+    out = f""",
+step0 AS MATERIALIZED (SELECT symbol, split, {y} AS t{", " + more if more else ""}, {y} - {of_train(f"avg({y})")} AS e, {", ".join(f"{c} - {of_train(f'avg({c})')} AS {n}" for c, n in zip(columns, names))} FROM {table})"""
+    for i, x in enumerate(names):
+        less = lambda z: f"{z} - {x} * coalesce({of_train(f'sum({x} * {z})')} / nullif({of_train(f'sum({x} * {x})')}, 0), 0) AS {z}"
+        out += f",\n{'residuals' if i + 1 == len(names) else f'step{i + 1}'} AS MATERIALIZED (SELECT {keep}, {', '.join(less(z) for z in ['e', *names[i + 1 :]])} FROM step{i})"
+    return out
+
+
+def elastic_net(table: str, columns: list[str], y: str, alpha: float, mix: float, rounds: int = 400) -> str:
+    """CTEs up to `residuals` (symbol, split, t, e): coordinate descent on standardised columns, one coordinate a step."""
+    k = len(columns)
+    of_train = lambda x: f"{x} FILTER (split = 'train') OVER (PARTITION BY symbol)"
+    zs = ", ".join(f"coalesce(({c} - {of_train(f'avg({c})')}) / nullif({of_train(f'stddev_pop({c})')}, 0), 0)" for c in columns)
+    gram = ", ".join("[" + ", ".join(f"avg(z[{i}] * z[{j}])" for j in range(1, k + 1)) + "]" for i in range(1, k + 1))
+    return f""",
+zed AS MATERIALIZED (SELECT symbol, split, {y} AS t, {y} - {of_train(f"avg({y})")} AS yc, [{zs}] AS z FROM {table}),
+products AS (SELECT symbol, [{gram}] AS a, [{", ".join(f"avg(z[{i}] * yc)" for i in range(1, k + 1))}] AS c FROM zed WHERE split = 'train' GROUP BY symbol),
+sums AS MATERIALIZED (SELECT symbol, j, a[j] AS a, c[j] AS c FROM products, range(1, {k + 1}) AS r(j)),
+descent AS (SELECT symbol, 0 AS step, [{", ".join(["0.0::DOUBLE"] * k)}] AS w FROM products
+  UNION ALL SELECT symbol, step + 1, w[1:j - 1] || [sign(rest) * greatest(abs(rest) - {alpha * mix}::DOUBLE, 0) / (below + {alpha * (1 - mix)}::DOUBLE)] || w[j + 1:]
+  FROM (SELECT d.symbol, step, w, j, a[j] AS below, c - list_dot_product(a, w) + a[j] * w[j] AS rest FROM descent d JOIN sums s ON s.symbol = d.symbol AND s.j = d.step % {k} + 1 WHERE step < {rounds * k})),
+residuals AS (SELECT symbol, split, t, yc - list_dot_product(z, w) AS e FROM zed JOIN (SELECT symbol, w FROM descent WHERE step = {rounds * k}) USING (symbol))"""
+
+
 def rounded(names: str, digits: int = 6) -> str:
     """`a b=expr` -> round(a, 6) AS a, round(expr, 6) AS b."""
     out = []
