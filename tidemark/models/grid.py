@@ -5,6 +5,7 @@ once for each candidate, as each candidate reads them all."""
 
 from __future__ import annotations
 
+import io
 import json
 import pickle
 
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.models import sequential
 from tidemark.models.sequential import REGISTRY
 from tidemark.runtime import ship
 
@@ -42,6 +44,25 @@ def _prepare(pdf: pd.DataFrame, columns: list[str], train: np.ndarray) -> np.nda
     return np.where(sd > 1e-6, (x - mean) / np.where(sd > 1e-6, sd, 1), 0.0)
 
 
+class _States(pickle.Unpickler):
+    """Reads fitted models alone: their own classes and NumPy's arrays and generators. Anything else that a table's bytes may name is refused."""
+
+    ARRAYS = {("numpy", "ndarray"), ("numpy", "dtype"), ("numpy._core.multiarray", "_reconstruct"), ("numpy._core.multiarray", "scalar"), ("numpy._core.numeric", "_frombuffer"),
+              ("numpy.random._pickle", "__randomstate_ctor"), ("numpy.random._pickle", "__bit_generator_ctor"), ("numpy.random._mt19937", "MT19937")}
+
+    def find_class(self, module, name):
+        own = getattr(sequential, name, None) if module == sequential.__name__ else None
+        if isinstance(own, type) and own.__module__ == module:
+            return own
+        if (module, name) in self.ARRAYS:
+            return super().find_class(module, name)
+        raise pickle.UnpicklingError(f"{module}.{name} is no part of a model")
+
+
+def load_state(state: bytes):
+    return _States(io.BytesIO(state)).load()
+
+
 PREDICTIONS = "symbol string, id string, model string, fold int, row long, part string, y int, score double, label int, reason string"
 
 
@@ -103,7 +124,7 @@ def predict_models(d: DataFrame, fitted: DataFrame, columns: list[str], more: li
     more = list(more or [])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mean, sd, m = pickle.loads(pdf["state"].iloc[0])
+        mean, sd, m = load_state(pdf["state"].iloc[0])
         x = (pdf[columns].to_numpy(float) - mean) / sd
         label = m.predict(x).astype(int)
         return pd.DataFrame({"symbol": pdf["symbol"], "id": pdf["id"], "row": pdf["row"], "score": m.score(x).astype(float) if hasattr(m, "score") else label.astype(float), "label": label, **{c: pdf[c] for c in more}})
