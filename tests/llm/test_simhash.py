@@ -78,6 +78,32 @@ def test_large_buckets(spark, monkeypatch, radius):
     assert {n: got.get(n, n) for n in signed} == want
 
 
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
+    """Spark plans by the size of what was exploded: under its default limit all probes went through the driver."""
+    plans, write = [], S.cut
+
+    def kept(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString().split("\n")))
+        return write(df, name)
+
+    monkeypatch.setattr(S, "cut", kept)
+    monkeypatch.setattr(S, "SMALL_BUCKET", 2)
+    r = random.Random(3)
+    near = {sum(1 << b for b in r.sample(range(64), r.randint(0, 4))) for _ in range(80)}
+    S.link_components(write(spark.createDataFrame([(S._signed(x),) for x in near], "fp long"), "few"), 4, hot_bucket=5)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    assert {"buckets", "hits", "links"} <= {name for name, _ in plans}
+    for name, lines in plans:
+        for i, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                below = []
+                for x in lines[i + 1 :]:
+                    if depth(x) <= depth(line):
+                        break
+                    below.append(x)
+                assert not any("Generate explode" in x for x in below), (name, lines)
+
+
 def test_thresholds_add_up_and_cover():
     both = np.full((64, 64), 250.0)
     np.fill_diagonal(both, 500.0)

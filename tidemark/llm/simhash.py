@@ -185,6 +185,11 @@ def _near(radius: int) -> Column:
     return F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """A join's exploded side: Spark takes it to be as small as what it was exploded from, and would broadcast all its rows."""
+    return rows.hint("merge")
+
+
 def _stored(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
     """Each fingerprint under its own value of each part; other columns stay."""
     places = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(as_long(mask(bits)))) for i, (bits, _) in enumerate(parts)]
@@ -206,7 +211,7 @@ def _buckets(stored: DataFrame) -> DataFrame:
     """key, n, members: up to SMALL_BUCKET of a bucket's fingerprints, the smallest ones."""
     first = stored.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("other"))).filter(F.col("r") <= SMALL_BUCKET)
     counts = cut(stored.groupBy("key").agg(F.count("*").alias("n")), "counts")
-    out = cut(counts.join(first.groupBy("key").agg(F.collect_list("other").alias("members")), "key"), "buckets")
+    out = cut(counts.join(_apart(first.groupBy("key").agg(F.collect_list("other").alias("members"))), "key"), "buckets")
     drop(counts)
     return out
 
@@ -250,7 +255,7 @@ def _links_between(stored: DataFrame, probes: DataFrame, radius: int, levels: in
         is_hot = bool(hot.take(1))
         cool = stored.join(hot, "key", "left_anti") if is_hot else stored
         linked = (probes["key"] == cool["key"]) & (F.col("label") != F.col("other_label")) & _near(radius)
-        found.append(cut(probes.join(cool, linked).select("fp", "other").distinct(), "links"))
+        found.append(cut(probes.join(_apart(cool), linked).select("fp", "other").distinct(), "links"))
         if not is_hot:
             break
         stored, probes = stored.join(hot, "key", "left_semi"), probes.join(hot, "key", "left_semi")
@@ -261,7 +266,7 @@ def _links_between(stored: DataFrame, probes: DataFrame, radius: int, levels: in
             stored = stored.withColumn("other_salt", F.pmod(F.xxhash64("other"), F.lit(SALTS)).cast("int"))
             probes = probes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
             linked = (probes["key"] == stored["key"]) & (F.col("salt") == F.col("other_salt")) & (F.col("label") != F.col("other_label")) & _near(radius)
-            found.append(cut(probes.join(stored, linked).select("fp", "other").distinct(), "links"))
+            found.append(cut(_apart(probes).join(stored, linked).select("fp", "other").distinct(), "links"))
     for t in made:
         drop(t)
     return found
@@ -281,7 +286,7 @@ def link_components(fps: DataFrame, radius: int, hot_bucket: int = HOT_BUCKET) -
     buckets = _buckets(stored)
     probes = _probes(fps, parts)
     close = lambda m: (m != F.col("fp")) & (F.bit_count(F.col("fp").bitwiseXOR(m)) <= radius)
-    hits = cut(probes.join(buckets, (probes["key"] == buckets["key"]) & ((F.col("n") > SMALL_BUCKET) | F.exists("members", close))).select(probes["key"], "fp", F.filter("members", close).alias("members"), "n"), "hits")
+    hits = cut(_apart(probes).join(buckets, (probes["key"] == buckets["key"]) & ((F.col("n") > SMALL_BUCKET) | F.exists("members", close))).select(probes["key"], "fp", F.filter("members", close).alias("members"), "n"), "hits")
     hot = buckets.filter(F.col("n") > hot_bucket).select("key")
     pivots = hits.select("fp", F.explode("members").alias("other"))
     if hot.take(1):
