@@ -102,6 +102,25 @@ def test_filter_reads_counts_back():
     assert language_model.quanta_of(np.array([1, 2, 3, 4, 7, 8])).tolist() == [1, 2, 2, 3, 3, 4]
 
 
+def test_filters_hash_a_key_once_a_level(monkeypatch):
+    import numpy as np
+
+    keys, q = np.arange(1000, dtype=np.uint32), np.full(1000, 3, np.uint8)
+    whole, hashed, mix = language_model.CountFilter.build(keys, q), [], language_model.mix
+    monkeypatch.setattr(language_model, "mix", lambda x: hashed.append(len(x)) or mix(x))
+    monkeypatch.setattr(language_model, "BLOCK", 7)
+    f = language_model.CountFilter.build(keys, q)
+    assert sum(hashed) == 3000 and (f.words == whole.words).all()
+    hashed.clear()
+    assert (f.quanta(keys) >= 3).all() and sum(hashed) < 4100
+
+
+def test_tokens_are_counted_as_they_are_split(spark):
+    odd = ["".join(f"a{chr(i)}B" for i in range(128)), "É\u00a0é \u3000 x\x1cx\x85x", "", " ", None, "a a\ta", "\r\n\x0b\x0cz"] * 2
+    got = language_model.count_tokens(spark.createDataFrame([(t,) for t in odd], "text string")).collect()
+    assert {r.token.encode(): r.c for r in got} == Counter(w for t in odd for w in language_model.tokens((t or "").encode()))
+
+
 @pytest.mark.parametrize("size", [1, 300, 1 << 20])
 def test_packs_hold_every_row_once(spark, size):
     texts = ["", None, "a b", "é 日本 x", "w " * 5000, None, "a b", "", "z"]

@@ -29,10 +29,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,8 @@ DISCOUNT = 0.5
 #: 24 bits an entry and 12 probes: an absent n-gram is taken for a present one about once in 70,000 times.
 BITS_PER_ENTRY, PROBES = 24, 12
 SHARD_TOKENS, CHUNK_TOKENS = 1 << 20, 1 << 18
+#: Keys that are looked up in a filter at a time, so that what is computed of them stays in the processor's cache.
+BLOCK = 1 << 15
 END = b" "  # no token has white space
 #: Salts of the hashes that place a context, spread a frequent one, name a context and name a single token.
 PLACE, SPREAD, CONTEXT, SINGLE = (np.uint64(x) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25))
@@ -82,10 +85,16 @@ class CountFilter:
         self.words = words
 
     @staticmethod
-    def places(keys: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
+    def halves(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where a level's probes of each key begin, and how far apart they are."""
         with np.errstate(over="ignore"):
             a = mix(keys.astype(np.uint64) + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-            return ((a & np.uint64(0xFFFFFFFF)) + np.uint64(probe) * ((a >> np.uint64(32)) | np.uint64(1))) % np.uint64(bits)
+        return a & np.uint64(0xFFFFFFFF), (a >> np.uint64(32)) | np.uint64(1)
+
+    @staticmethod
+    def places(start: np.ndarray, step: np.ndarray, probe: int, bits: int) -> np.ndarray:
+        x = start + np.uint64(probe) * step
+        return x - x // np.uint64(bits) * np.uint64(bits)  # numpy divides by one number much faster than it takes a remainder
 
     @classmethod
     def build(cls, keys: np.ndarray, q: np.ndarray) -> CountFilter:
@@ -93,41 +102,40 @@ class CountFilter:
         bits = np.zeros(len(words) * 64, bool)
         for level in range(1, int(q.max(initial=0)) + 1):
             held = keys[q >= level]
-            for probe in range(PROBES):
-                bits[cls.places(held, level, probe, len(bits))] = True
+            for at in range(0, len(held), BLOCK):
+                start, step = cls.halves(held[at : at + BLOCK], level)
+                for probe in range(PROBES):
+                    bits[cls.places(start, step, probe, len(bits))] = True
         return cls(np.packbits(bits, bitorder="little").view(np.uint64))
 
     def quanta(self, keys: np.ndarray) -> np.ndarray:
         """The quantised count of each key: 0 if it isn't held, else found by one probe after another."""
-        out, bits, level = np.zeros(len(keys), np.uint8), len(self.words) * 64, 0
-        at = np.arange(len(keys))
-        while len(at):
-            level += 1
-            for probe in range(PROBES):
-                place = self.places(keys[at], level, probe, bits)
-                at = at[(self.words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)]
-            out[at] = level
+        out, bits = np.zeros(len(keys), np.uint8), len(self.words) * 64
+        for first in range(0, len(keys), BLOCK):
+            at, level = np.arange(first, min(first + BLOCK, len(keys))), 0
+            while len(at):
+                level += 1
+                start, step = self.halves(keys[at], level)
+                for probe in range(PROBES):
+                    place = self.places(start, step, probe, bits)
+                    held = (self.words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+                    if not held.all():
+                        at, start, step = at[held], start[held], step[held]
+                out[at] = level
         return out
 
 
-def count_tokens(docs: DataFrame, flush: int = 400_000) -> DataFrame:
+def count_tokens(docs: DataFrame) -> DataFrame:
     """token, c over all rows of docs."""
 
     def run(batches):
-        seen: Counter = Counter()
-
-        def out():
-            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
-            seen.clear()
-            return batch
-
         for b in batches:
-            for t in raw_texts(b):
-                seen.update(tokens(t))
-                if len(seen) > flush:
-                    yield out()
-        if seen:
-            yield out()
+            if not b.num_rows:
+                continue
+            words = pc.ascii_split_whitespace(pc.ascii_lower(b.column(0).fill_null(""))).flatten()
+            words = words.filter(pc.greater(pc.binary_length(words), 0)).dictionary_encode()
+            names, n = words.dictionary.cast(pa.string()), np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([names, pa.array([END.decode()], pa.string())]), pa.array(np.append(n, b.num_rows), pa.int64())], ["token", "n"])
 
     return docs.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
@@ -170,15 +178,14 @@ class Grams:
     """The distinct n-grams of some texts (lists of tokens): where each is held, under which name, and which token has which."""
 
     def __init__(self, texts: list[list[bytes]], head: Head, shards: int):
-        self.words = [w for t in texts for w in t]
+        words = pa.array(list(chain.from_iterable(texts)), pa.large_binary()).dictionary_encode()
         self.starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        self.distinct = list(dict.fromkeys(self.words))
-        number = dict(zip(self.distinct, range(len(self.distinct))))
-        code = np.fromiter(map(number.__getitem__, self.words), np.int64, len(self.words))
+        self.distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # bytes, much sooner than by to_pylist
+        code = words.indices.to_numpy().astype(np.int64)
         before = np.concatenate([code[-1:], code[:-1]])
-        before[self.starts[:-1]] = number.get(END, 0)
-        self.code, self.before = code, before
-        h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in self.distinct), np.uint64, len(self.distinct))
+        before[self.starts[:-1]] = code[-1] if len(code) else 0  # each text's last token is its end
+        self.code = code
+        h = np.fromiter(map(xxhash.xxh64_intdigest, self.distinct, repeat(42)), np.uint64, len(self.distinct))
         self.ids = head.of(self.distinct)
         n = max(1, len(self.distinct))
         pairs, self.pair_of = np.unique(before * n + code, return_inverse=True)
@@ -190,10 +197,10 @@ class Grams:
             self.pair_keys = _low(mix(mix(h[v]) + h[w] * np.uint64(0x9E3779B97F4A7C15)))
         self.pair_homes = (home[v] + (mix(h[w] ^ SPREAD) % fan[v].astype(np.uint64)).astype(np.int64)) % shards
         self.names, self.homes = _low(mix(h ^ CONTEXT)), home
-        self.pair_names = self.names[v]
+        self.pair_names, self.pair_contexts, self.pair_tokens = self.names[v], v, w
         self.tail = np.flatnonzero(self.ids < 0)
         self.single_keys = _low(mix(h ^ SINGLE))
-        self.contexts = np.flatnonzero(~self.hot & np.isin(np.arange(len(self.distinct)), v))
+        self.contexts = np.flatnonzero(~self.hot & (np.bincount(v, minlength=len(self.distinct)) > 0))
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Shard and key of all bigrams, then of all tokens outside the head."""
@@ -202,9 +209,10 @@ class Grams:
 
 def _by_shard(homes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     """An order by shard, and each shard's part of it."""
-    order = np.argsort(homes, kind="stable")
-    found, at = np.unique(homes[order], return_index=True)
-    ends = [*at[1:].tolist(), len(order)]
+    order = np.argsort(homes.astype(np.uint16) if homes.max(initial=0) < 1 << 16 else homes, kind="stable")  # 16 bits are sorted by radix
+    ordered = homes[order]
+    at = np.flatnonzero(np.diff(ordered, prepend=-1))
+    found, ends = ordered[at], [*at[1:].tolist(), len(order)]
     return order, [(s, slice(a, b)) for s, a, b in zip(found.tolist(), at.tolist(), ends)]
 
 
@@ -252,9 +260,11 @@ def build_shards(partial: DataFrame, hot_names) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         hot = hot_names.value
         all_keys, n = _array(t["keys"], np.uint32), _array(t["n"], np.uint32)
-        keys, at = np.unique(all_keys, return_index=True)
-        counts = np.bincount(np.searchsorted(keys, all_keys), weights=n, minlength=len(keys))
-        names = _array(t["names"], np.uint32)[at]
+        ordered = np.sort(all_keys.astype(np.uint64) << np.uint64(32) | np.arange(len(all_keys), dtype=np.uint64))
+        keys, at = (ordered >> np.uint64(32)).astype(np.uint32), (ordered & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        first = np.flatnonzero(np.diff(keys.astype(np.int64), prepend=-1))
+        counts = np.add.reduceat(n[at].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        keys, names = keys[first], _array(t["names"], np.uint32)[at[first]]
         q = quanta_of(counts)
         own = names != NO_CONTEXT
         contexts, of = np.unique(names[own], return_inverse=True)
@@ -387,9 +397,11 @@ def answer(requests: DataFrame, shards: DataFrame) -> DataFrame:
             q = CountFilter(_array(shard["words"], np.uint64)).quanta(distinct)[of]
             held, w, t = (_array(shard[c], k) for c, k in (("names", np.uint32), ("weights", np.float32), ("types", np.uint32)))
             if len(held):
-                at = np.minimum(np.searchsorted(held, names), len(held) - 1)
-                known = held[at] == names
-                weights[known], shares[known] = w[at[known]], np.round(SHARE_STEPS * DISCOUNT * t[at[known]] / w[at[known]])
+                asked_for, of = np.unique(names, return_inverse=True)
+                at = np.minimum(np.searchsorted(held, asked_for), len(held) - 1)
+                known = held[at] == asked_for
+                share = np.round(SHARE_STEPS * DISCOUNT * t[at] / w[at]).astype(np.uint16)
+                weights, shares = np.where(known, w[at], np.float32(0))[of], np.where(known, share, np.uint16(0))[of]
         a = np.cumsum([0, *[len(x) // 4 for x in asked["keys"].to_pylist()]])
         b = np.cumsum([0, *[len(x) // 4 for x in asked["names"].to_pylist()]])
         columns = [asked["chunk"], asked["shard"], pa.array([q[i:j].tobytes() for i, j in zip(a, a[1:])], pa.binary()), *[pa.array([x[i:j].tobytes() for i, j in zip(b, b[1:])], pa.binary()) for x in (weights, shares)]]
@@ -414,17 +426,17 @@ def score_chunk(m: Model, texts: list[list[bytes]], answers: pa.Table) -> list[t
     c = exact.copy()
     c[g.tail] = read[len(g.pair_keys) :]
     single = (c + 1) / (m.read + m.v + 1)
-    w = weights[g.before]
+    w = weights[g.pair_contexts]
     seen = w > 0
-    p = single[g.code]
-    pair = read[: len(g.pair_keys)][g.pair_of]
-    p[seen] = np.maximum(pair[seen] - DISCOUNT, 0) / w[seen] + shares[g.before][seen] * p[seen]
+    p = single[g.pair_tokens]
+    pair = read[: len(g.pair_keys)]
+    p[seen] = np.maximum(pair[seen] - DISCOUNT, 0) / w[seen] + shares[g.pair_contexts][seen] * p[seen]
     base, known = np.log10(exact + 1)[g.code], inside[g.code]
     at = g.starts[:-1]
     outside = np.flatnonzero(~known)
     cuts = np.searchsorted(outside, g.starts)
-    others = [g.words[i] for i in outside]
-    sums = [np.add.reduceat(x, at).tolist() for x in (known.astype(np.int64), base, np.log10(np.minimum(p, 1.0)))]
+    others = [g.distinct[i] for i in g.code[outside].tolist()]
+    sums = [np.add.reduceat(x, at).tolist() for x in (known.astype(np.int64), base, np.log10(np.minimum(p, 1.0))[g.pair_of])]
     return list(zip(np.diff(g.starts).tolist(), *sums, (Counter(others[i:j]) for i, j in zip(cuts, cuts[1:]))))
 
 
