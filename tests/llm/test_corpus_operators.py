@@ -117,8 +117,9 @@ def test_filters_hash_a_key_once_a_level(monkeypatch):
 
 def test_tokens_are_counted_as_they_are_split(spark):
     odd = ["".join(f"a{chr(i)}B" for i in range(128)), "É\u00a0é \u3000 x\x1cx\x85x", "", " ", None, "a a\ta", "\r\n\x0b\x0cz"] * 2
-    got = language_model.count_tokens(spark.createDataFrame([(t,) for t in odd], "text string")).collect()
-    assert {r.token.encode(): r.c for r in got} == Counter(w for t in odd for w in language_model.tokens((t or "").encode()))
+    docs, want = spark.createDataFrame([(t,) for t in odd], "text string"), Counter(w for t in odd for w in language_model.tokens((t or "").encode()))
+    for most in (1, 20, 1 << 23):
+        assert {r.token.encode(): r.c for r in language_model.count_tokens(docs, most).collect()} == want
 
 
 @pytest.mark.parametrize("size", [1, 300, 1 << 20])

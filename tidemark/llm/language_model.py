@@ -125,17 +125,23 @@ class CountFilter:
         return out
 
 
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """token, c over all rows of docs."""
+def pieces(texts: pa.Array, most: int = 1 << 23) -> Iterator[pa.Array]:
+    """The texts in runs of about `most` bytes, so that a batch of long ones isn't held several times over."""
+    starts = np.flatnonzero(np.diff(np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // most, prepend=-1)).tolist()
+    for i, j in zip(starts, [*starts[1:], len(texts)]):
+        yield texts.slice(i, j - i)
+
+
+def count_tokens(docs: DataFrame, most: int = 1 << 23) -> DataFrame:
+    """token, c over all rows of docs; about `most` bytes of text are taken at a time."""
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            words = pc.ascii_split_whitespace(pc.ascii_lower(b.column(0).fill_null(""))).flatten()
-            words = words.filter(pc.greater(pc.binary_length(words), 0)).dictionary_encode()
-            names, n = words.dictionary.cast(pa.string()), np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([names, pa.array([END.decode()], pa.string())]), pa.array(np.append(n, b.num_rows), pa.int64())], ["token", "n"])
+            for texts in pieces(b.column(0).fill_null(""), most):
+                words = pc.ascii_split_whitespace(pc.ascii_lower(texts)).flatten()
+                words = words.filter(pc.greater(pc.binary_length(words), 0)).dictionary_encode()
+                names, n = words.dictionary.cast(pa.string()), np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([names, pa.array([END.decode()], pa.string())]), pa.array(np.append(n, len(texts)), pa.int64())], ["token", "n"])
 
     return docs.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
